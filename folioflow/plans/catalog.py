@@ -6,6 +6,9 @@ from .registry import all_queries, all_sql
 
 _MODULES = [
     "interval_queries",
+    "shape_queries",
+    "source_queries",
+    "join_queries",
 ]
 
 for _name in _MODULES:
