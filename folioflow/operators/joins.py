@@ -154,7 +154,7 @@ def stage_states(
     A stage downstream of a failed or skipped one is skipped; one with all dependencies
     completed is ready. Dependencies outside ``stages`` do not count.
     """
-    per = [F.max_by(status, F.col("ts")).filter(F.col(stage) == s).alias(f"_{s}") for s in stages]
+    per = [F.max_by(status, F.when(F.col(stage) == s, F.col("ts"))).alias(f"_{s}") for s in stages]
     d = ledger.groupBy(run).agg(*per)
     for s in stages:
         up = [F.col(f"_{dep}") for st, dep in deps if st == s and dep in stages]

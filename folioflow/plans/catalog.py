@@ -9,6 +9,8 @@ _MODULES = [
     "shape_queries",
     "source_queries",
     "join_queries",
+    "aggregate_queries",
+    "window_queries",
 ]
 
 for _name in _MODULES:
