@@ -124,7 +124,17 @@ def ordered_concat(t):
     return ag.ordered_concat(t.conversations, ["conv_id"], ["turn"], line, part_rows=4)
 
 
-@query("latency_profile", "SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.9) AS p90, max(value) AS max FROM events GROUP BY 1")
+_AT = "max(value) FILTER (i = {f}((n - 1) * {q}::DOUBLE))"
+_MIX = "CASE WHEN {lo} = {hi} THEN {lo} ELSE (ceil(max((n - 1) * {q}::DOUBLE)) - max((n - 1) * {q}::DOUBLE)) * {lo} + (max((n - 1) * {q}::DOUBLE) - floor(max((n - 1) * {q}::DOUBLE))) * {hi} END"
+
+
+def _quantile_sql(q):
+    return _MIX.format(lo=_AT.format(f="floor", q=q), hi=_AT.format(f="ceil", q=q), q=q)
+
+
+@query("latency_profile", f"""
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, {_quantile_sql("0.5")} AS median, {_quantile_sql("0.9")} AS p90, max(value) AS max FROM r GROUP BY 1""")
 def latency_profile(t):
     return ag.latency_profile(t.events, ["event_type"], "value")
 

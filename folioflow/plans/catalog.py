@@ -11,6 +11,7 @@ _MODULES = [
     "join_queries",
     "aggregate_queries",
     "window_queries",
+    "section_queries",
 ]
 
 for _name in _MODULES:
