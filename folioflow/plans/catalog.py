@@ -12,6 +12,7 @@ _MODULES = [
     "aggregate_queries",
     "window_queries",
     "section_queries",
+    "rule_queries",
 ]
 
 for _name in _MODULES:
