@@ -13,6 +13,7 @@ _MODULES = [
     "window_queries",
     "section_queries",
     "rule_queries",
+    "assembly_queries",
 ]
 
 for _name in _MODULES:
