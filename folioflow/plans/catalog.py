@@ -14,6 +14,7 @@ _MODULES = [
     "section_queries",
     "rule_queries",
     "assembly_queries",
+    "stream_queries",
 ]
 
 for _name in _MODULES:
