@@ -15,6 +15,7 @@ _MODULES = [
     "rule_queries",
     "assembly_queries",
     "stream_queries",
+    "job_queries",
 ]
 
 for _name in _MODULES:
