@@ -2,20 +2,16 @@
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 
 def clock_seconds(c: Column) -> Column:
     """``HH:MM:SS.ff`` or ``MM:SS.mmm`` -> seconds as double; null if malformed."""
-    h = F.regexp_extract(c, r"^(\d+):(\d+):(\d+(?:\.\d+)?)$", 1)
-    long_form = (
-        h.try_cast("double") * 3600
-        + F.regexp_extract(c, r"^(\d+):(\d+):(\d+(?:\.\d+)?)$", 2).try_cast("double") * 60
-        + F.regexp_extract(c, r"^(\d+):(\d+):(\d+(?:\.\d+)?)$", 3).try_cast("double")
-    )
-    short_form = (
-        F.regexp_extract(c, r"^(\d+):(\d+(?:\.\d+)?)$", 1).try_cast("double") * 60
-        + F.regexp_extract(c, r"^(\d+):(\d+(?:\.\d+)?)$", 2).try_cast("double")
-    )
-    return F.coalesce(long_form, short_form)
+    def seconds(parts):
+        part = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
+        return F.when(F.size(parts) == 3, part(1) * 3600 + part(2) * 60 + part(3)).when(F.size(parts) == 2, part(1) * 60 + part(2))
+
+    return let(F.split(F.when(c.rlike(r"^\d+:(\d+:)?\d+(\.\d+)?$"), c), ":"), seconds)
 
 
 def shot_clock(seconds: Column) -> Column:

@@ -35,6 +35,11 @@ def parse_spans(c: Column, strict: bool = False) -> Column:
     return F.transform(F.filter(parts, lambda p: p.rlike(_LENIENT)), pair).cast(_TYPE)
 
 
+def has_span(c: Column) -> Column:
+    """Does the text hold at least one interval? One pattern match, without parsing."""
+    return F.coalesce(c, F.lit("")).rlike(r"(^|,)\s*\d+\s*(?:[-–~—]\s*\d+)?\s*(,|$)")
+
+
 def span_text(lo: Column, hi: Column) -> Column:
     return F.when(lo == hi, lo.cast("string")).otherwise(
         F.concat(lo.cast("string"), F.lit("-"), hi.cast("string"))

@@ -9,6 +9,11 @@ from . import fixed
 _CJK = "[\\u3400-\\u4dbf\\u4e00-\\u9fff\\u3000-\\u303f\\uff01-\\uffee]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, line breaks included."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -94,13 +94,15 @@ def roster_text(entities: DataFrame, keys: list[str], order: list[str], card: Co
 def media_from_logs(df: DataFrame, log: str) -> DataFrame:
     """Clip facts from a probe text, with defaults for what it does not say."""
     c = F.col(log)
-    get = lambda p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
-    return df.withColumns({
-        "duration": F.coalesce(clock_seconds(get(r"Duration:\s*(\d+:\d+:\d+(?:\.\d+)?)")), F.lit(0.0)),
-        "w": F.coalesce(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})").cast("int"), F.lit(0)),
-        "h": F.coalesce(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})", 2).cast("int"), F.lit(0)),
-        "fps": F.coalesce(get(r"(\d+(?:\.\d+)?)\s+fps").cast("double"), get(r"(\d+(?:\.\d+)?)\s+tbr").cast("double"), F.lit(fixed.FPS_DEFAULT)),
-        "sample_rate": F.coalesce(get(r"(\d+)\s+Hz").cast("int"), F.lit(fixed.RATE_DEFAULT)),
-        "channels": F.coalesce(get(r"\b(mono|stereo)\b"), F.lit(fixed.LAYOUT_DEFAULT)),
+    get = lambda p, g=1: F.regexp_extract(c, p, g)
+    layout = get(r"\b(mono|stereo)\b")
+    d = df.withColumn("_d", get(r"Duration:\s*(\d+:\d+:\d+(?:\.\d+)?)"))
+    return d.withColumns({
+        "duration": F.coalesce(clock_seconds(F.col("_d")), F.lit(0.0)),
+        "w": F.coalesce(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})").try_cast("int"), F.lit(0)),
+        "h": F.coalesce(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})", 2).try_cast("int"), F.lit(0)),
+        "fps": F.coalesce(get(r"(\d+(?:\.\d+)?)\s+fps").try_cast("double"), get(r"(\d+(?:\.\d+)?)\s+tbr").try_cast("double"), F.lit(fixed.FPS_DEFAULT)),
+        "sample_rate": F.coalesce(get(r"(\d+)\s+Hz").try_cast("int"), F.lit(fixed.RATE_DEFAULT)),
+        "channels": F.when(layout == "", fixed.LAYOUT_DEFAULT).otherwise(layout),
         "has_audio": c.contains("Audio:"),
-    })
+    }).drop("_d")

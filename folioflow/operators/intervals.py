@@ -63,18 +63,26 @@ def state_at(
     """The state whose interval contains the position of each fact, else null.
 
     ``latest_listed``: of several, the one last in ``ord``. ``earliest_start``: the one that
-    sorts first by (lo, hi, ord). States are reduced to one per node and facts to their distinct
+    sorts first by (lo, hi, ord). ``ord`` is unique within a key. States are reduced to one per node and facts to their distinct
     positions before the two meet, so no pairs are built however many states overlap.
     """
-    rank = {"latest_listed": [ord], "earliest_start": [lo, hi, ord]}[policy]
-    pick = F.max if policy == "latest_listed" else F.min
-    cols = list(dict.fromkeys([*rank, ord, *payload]))
-    best = interval_nodes(states, lo, hi).groupBy(*keys, "level", "node").agg(pick(F.struct(*cols)).alias("_best"))
-    probes = _probes(facts.select(*keys, pos).distinct(), pos)
-    hits = probes.join(best, [*keys, "level", "node"]).groupBy(*keys, pos).agg(pick("_best").alias("_hit"))
-    return facts.join(hits, [*keys, pos], "left").select(
-        *facts.columns, *[F.col("_hit")[c].alias(f"state_{c}") for c in dict.fromkeys([ord, *payload])]
-    )
+    on = [*keys, "level", "node"]
+    nodes, probes = interval_nodes(states, lo, hi), _probes(facts.select(*keys, pos).distinct(), pos)
+    if policy == "latest_listed":
+        best = nodes.groupBy(*on).agg(F.max(ord).alias("_o"))
+        hits = probes.join(best, on).groupBy(*keys, pos).agg(F.max("_o").alias("state_" + ord))
+    elif policy == "earliest_start":
+        first = F.min(F.struct(lo, hi, ord))
+        best = nodes.groupBy(*on).agg(first.alias("_b"))
+        hits = probes.join(best, on).groupBy(*keys, pos).agg(F.min("_b")[ord].alias("state_" + ord))
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    more = [c for c in payload if c != ord]
+    if more:
+        named = states.select(*keys, F.col(ord).alias("state_" + ord), *[F.col(c).alias("state_" + c) for c in more])
+        hits = hits.join(named, [*keys, "state_" + ord])
+    out = ["state_" + c for c in dict.fromkeys([ord, *payload])]
+    return facts.join(hits, [*keys, pos], "left").select(*facts.columns, *out)
 
 
 def state_cards(
@@ -225,8 +233,8 @@ def repair_states(
     lo: str = "lo", hi: str = "hi", ord: str = "ord",
 ) -> DataFrame:
     """Normalise the keys that fail :func:`interval_errors`; ``accepted`` tells if they pass now."""
-    bad = interval_errors(states, required, keys, pos, lo, hi, ord).select(*keys).distinct()
-    bad = cut_lineage(bad)
+    states = cut_lineage(states)  # read many times below
+    bad = cut_lineage(interval_errors(states, required, keys, pos, lo, hi, ord).select(*keys).distinct())
     failing = states.join(bad, keys, "left_semi")
     fixed = cut_lineage(normalise_states(failing, keys, first, last, lo, hi, ord))
     still = interval_errors(fixed, required, keys, pos, lo, hi, ord).select(*keys).distinct().withColumn("_still", F.lit(True))

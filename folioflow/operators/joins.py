@@ -53,14 +53,16 @@ def phrase_hits(docs: DataFrame, doc: str, text: str, phrases: DataFrame, pid: s
     whole = p.where(F.col("_k") >= 3).select(pid, F.array_max(F.transform(
         inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_w"))
     short = p.where(F.col("_k") < 3).select(pid, (F.col("_k") == 2).alias("_start"), F.element_at("_t", -1).alias("_s"))
-    vocab = words.select("_w").distinct()
-    lengths = short.select("_start", F.length("_s").alias("_n")).distinct()  # a handful of rows
-    cut = vocab.join(lengths, F.length("_w") >= F.col("_n"))
-    at = F.when(F.col("_start"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_w") - F.col("_n") + 1))
-    cut = cut.select("_w", "_start", "_n", F.explode(at).alias("_i")).select(
-        "_w", "_start", F.substring(F.col("_w"), F.col("_i"), F.col("_n")).alias("_s"))
-    near = cut.join(short, ["_start", "_s"]).select(pid, "_w").distinct()
-    pairs = words.join(whole.unionByName(near), "_w").select(doc, pid).distinct()
+    anchors = whole
+    if not short.isEmpty():  # most dictionaries have long phrases only; then the texts are split once
+        vocab = words.select("_w").distinct()
+        lengths = short.select("_start", F.length("_s").alias("_n")).distinct()  # a handful of rows
+        cut = vocab.join(lengths, F.length("_w") >= F.col("_n"))
+        at = F.when(F.col("_start"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_w") - F.col("_n") + 1))
+        cut = cut.select("_w", "_start", "_n", F.explode(at).alias("_i")).select(
+            "_w", "_start", F.substring(F.col("_w"), F.col("_i"), F.col("_n")).alias("_s"))
+        anchors = whole.unionByName(cut.join(short, ["_start", "_s"]).select(pid, "_w").distinct())
+    pairs = words.join(anchors, "_w").select(doc, pid).distinct()
     return (
         pairs.join(docs.select(doc, F.col(text).alias("_text")), doc).join(p.select(pid, "_phrase"), pid)
         .where(F.col("_text").contains(F.col("_phrase"))).select(doc, pid)

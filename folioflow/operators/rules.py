@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes, fixed
-from ..functions.spans import parse_spans
-from ..functions.text import count, has_cjk, is_blank, strip, tag_set, tokens
+from ..functions.spans import has_span
+from ..functions.text import count, has_cjk, is_blank, let, strip, tag_set, tokens
 from .joins import verbatim_missing
 from .scan import numbered
 from .sections import heading_errors, section_body
 from .sets import exact_cover, missing_tags
 from .shape import rule_errors
-from .windows import shot_rules
+from .windows import shot_errors
 
 _SHAPES = ["vertical", "horizontal", "square", "full"]  # fixed values
 
@@ -88,7 +88,7 @@ def check_entities(
     repeated = clean.join(twice, "_name", "left_semi").select(key, F.lit("name repeated").alias("rule"))
     stateless = entities.join(states, key, "left_anti").select(key, F.lit("no states").alias("rule"))
     bad_state = _rows_of(states, [key], rule_errors({
-        "state pages": F.size(parse_spans(c(pages))) == 0, "state text": is_blank(c(state_text))})).distinct()
+        "state pages": ~has_span(c(pages)), "state text": is_blank(c(state_text))})).distinct()
     return own.unionByName(repeated).unionByName(stateless).unionByName(bad_state)
 
 
@@ -145,20 +145,23 @@ def second_lines(body: Column) -> Column:
 
 def segment_script_errors(text: Column, duration: Column, dialogue: Column, design_title: str = "逐秒镜头设计") -> Column:
     """Headings present, seconds gapless from 0 to the whole duration, dialogue verbatim."""
-    spans = second_lines(section_body(text, design_title))
-    n = F.size(spans)
-    broken = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i < n) & (
-        F.try_element_at(spans, i)["b"] != F.try_element_at(spans, i + 1)["a"]))
-    heads = F.filter(F.array(*[F.lit(h) for h in fixed.SEGMENT_HEADINGS]), lambda h: ~text.contains(h))
-    lost = F.filter(dialogue, lambda s: ~text.contains(s))
-    return F.concat(
-        F.transform(heads, lambda h: F.concat(F.lit("missing "), h)),
-        rule_errors({
+
+    def second_errors(spans):
+        n = F.size(spans)
+        broken = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i < n) & (
+            F.try_element_at(spans, i)["b"] != F.try_element_at(spans, i + 1)["a"]))
+        return rule_errors({
             "no seconds": n == 0,
             "not from 0": (n > 0) & (F.try_element_at(spans, F.lit(1))["a"] != 0),
             "gap": (n > 0) & broken,
             "too short": (n > 0) & (F.try_element_at(spans, F.lit(-1))["b"] < F.floor(duration)),
-        }),
+        })
+
+    heads = F.filter(F.array(*[F.lit(h) for h in fixed.SEGMENT_HEADINGS]), lambda h: ~text.contains(h))
+    lost = F.filter(dialogue, lambda s: ~text.contains(s))
+    return F.concat(
+        F.transform(heads, lambda h: F.concat(F.lit("missing "), h)),
+        let(second_lines(section_body(text, design_title)), second_errors),
         F.transform(lost, lambda s: F.concat(F.lit("not verbatim: "), s)))
 
 
@@ -176,14 +179,13 @@ def prompt_errors(prompt: Column, mode: Column, duration: Column, dialogue: Colu
         "start field": ~pictured & ~F.coalesce(opening, F.lit("")).startswith(fixed.PROMPT_FIELDS[0]),
     })
     fields = heading_errors(prompt, fixed.PROMPT_FIELDS, advance_on_error=True)
-    after = rule_errors({
-        **shot_rules(prompt, duration),
+    after = shot_errors(prompt, duration), rule_errors({
         "tags unbalanced": ~((n_open == n_cn) & (n_cn == n_close)),
         "dialogue not verbatim": F.exists(dialogue, lambda s: ~prompt.contains(s)),
         "lock phrase": ~prompt.contains(fixed.LOCK_PHRASE),
         "name missing": F.exists(names, lambda s: ~prompt.contains(s)),
     })
-    return F.concat(before, fields, after)
+    return F.concat(before, fields, *after)
 
 
 def check_prompts_set(prompts: DataFrame, cast: DataFrame, entities: DataFrame, panel: str) -> DataFrame:

@@ -128,11 +128,17 @@ def dialogue_table(docs: DataFrame, keys: list[str], body: str) -> DataFrame:
 
 def panel_digest(docs: DataFrame, text: str, cast_title: str, gist_titles: list[str], limit: int = 80, none: str = "（见 L3 脚本）") -> DataFrame:
     """Number of people named in the cast section and a short gist of the first filled section."""
-    lines = F.transform(F.split(section_body(F.col(text), cast_title), "\n"), lambda s: strip(F.regexp_replace(strip(s), r"^[-*• ]+", "")))
+    d = docs.withColumn("_secs", section_array(F.col(text)))
+
+    def body(title):
+        hit = F.filter(F.col("_secs"), lambda s: s["heading"] == title)
+        return F.coalesce(F.try_element_at(hit, F.lit(1))["body"], F.lit(""))
+
+    lines = F.transform(F.split(body(cast_title), "\n"), lambda s: strip(F.regexp_replace(strip(s), r"^[-*• ]+", "")))
     people = F.size(F.filter(lines, lambda s: (s != "") & ~starts_with_any(s, fixed.NONE_PREFIXES)))
     gist = F.lit("")
     for title in reversed(gist_titles):
-        body = section_body(F.col(text), title)
-        gist = F.when(body != "", body).otherwise(gist)
-    short = clip_sentence(F.regexp_replace(gist, r"\s+", " "), limit)
-    return docs.withColumns({"people": people, "gist": F.when(short == "", none).otherwise(short)})
+        gist = F.when(body(title) != "", body(title)).otherwise(gist)
+    d = d.withColumns({"people": people, "_gist": strip(F.regexp_replace(gist, r"\s+", " "))})
+    short = clip_sentence(F.col("_gist"), limit)
+    return d.withColumn("gist", F.when(F.col("_gist") == "", none).otherwise(short)).drop("_secs", "_gist")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.clock import clock_seconds
+from ..functions.text import let
 from .scan import by_width, numbered, ordered_scan
+from .shape import rule_errors
 
 
 def global_order(df: DataFrame, page: str, rest: list[str], out: str = "position") -> DataFrame:
@@ -39,31 +40,31 @@ def continuity(
         (F.max_by(end, F.col("_rn")) >= F.floor(F.max(duration))).alias("reaches_end"))
 
 
-def shot_marks(text: Column) -> Column:
-    """Time-stamped shots of a prompt in text order: ``struct<no,sec>``."""
-    pattern = r"\[Shot (\d+)\] At (\d{2}:\d{2}\.\d{3})"
-    nos, at = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
-    return F.transform(F.arrays_zip(nos.alias("n"), at.alias("t")), lambda z: F.struct(
-        z["n"].cast("int").alias("no"), clock_seconds(z["t"]).alias("sec")))
-
-
-def shot_rules(text: Column, duration: Column) -> dict[str, Column]:
-    """Rules on shot numbers and time stamps, each true when broken. All inside one row."""
-    marks = shot_marks(text)
-    bare = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[Shot (\d+)\]"), 1), lambda n: n.cast("int")))
-    nos, secs = F.transform(marks, lambda m: m["no"]), F.transform(marks, lambda m: m["sec"])
-    k = F.coalesce(F.array_max(bare), F.lit(0))
-    unsorted = F.exists(F.sequence(F.lit(1), F.greatest(F.size(secs), F.lit(1))), lambda i: (i < F.size(secs)) & (
-        F.try_element_at(secs, i + 1) <= F.try_element_at(secs, i)))
-    want = F.when(k >= 2, F.sequence(F.lit(2), k)).otherwise(F.array().cast("array<int>"))
-    return {
-        "shot 1 missing": ~F.array_contains(bare, 1),
-        "shot 1 has a time": F.array_contains(nos, 1),
-        "shot numbers not contiguous": (F.size(bare) > 0) & ((F.size(bare) != k) | (F.coalesce(F.array_min(bare), F.lit(1)) != 1)),
-        "timed shots incomplete": (k >= 2) & (F.array_sort(nos) != want),
-        "times not increasing": unsorted,
-        "time out of range": F.exists(secs, lambda s: ~((s > 0) & (s < duration))),
-    }
+def shot_errors(text: Column, duration: Column) -> Column:
+    """Broken rules on the shot numbers and time stamps of a prompt. All inside one row."""
+    pattern = F.lit(r"\[Shot (\d+)\] At (\d{2}:\d{2}\.\d{3})")
+    found = F.struct(
+        F.transform(F.regexp_extract_all(text, pattern, 1), lambda n: n.cast("int")).alias("nos"),
+        F.transform(F.regexp_extract_all(text, pattern, 2), lambda t: (
+            F.substring(t, 1, 2).cast("int") * 60 + F.substring(t, 4, 6).cast("double"))).alias("secs"),
+        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[Shot (\d+)\]"), 1), lambda n: n.cast("int"))).alias("bare"))
+
+    def rules(s):
+        nos, secs, bare = s["nos"], s["secs"], s["bare"]
+        k = F.coalesce(F.array_max(bare), F.lit(0))
+        unsorted = F.exists(F.sequence(F.lit(1), F.greatest(F.size(secs), F.lit(1))), lambda i: (i < F.size(secs)) & (
+            F.try_element_at(secs, i + 1) <= F.try_element_at(secs, i)))
+        want = F.when(k >= 2, F.sequence(F.lit(2), F.greatest(k, F.lit(2)))).otherwise(F.array().cast("array<int>"))
+        return rule_errors({
+            "shot 1 missing": ~F.array_contains(bare, 1),
+            "shot 1 has a time": F.array_contains(nos, 1),
+            "shot numbers not contiguous": (F.size(bare) > 0) & ((F.size(bare) != k) | (F.coalesce(F.array_min(bare), F.lit(1)) != 1)),
+            "timed shots incomplete": (k >= 2) & (F.array_sort(nos) != want),
+            "times not increasing": unsorted,
+            "time out of range": F.exists(secs, lambda t: ~((t > 0) & (t < duration))),
+        })
+
+    return let(found, rules)
 
 
 def crossfade_offsets(media: DataFrame, keys: list[str], order: list[str], duration: str, fade: float = fixed.CROSSFADE_SECONDS, blocks=None) -> DataFrame:

@@ -33,6 +33,7 @@ def understand(replies: DataFrame, raw: str, page: str, page_w: str, page_h: str
     schema = "summary STRING, panels ARRAY<STRUCT<no: INT, bbox: ARRAY<DOUBLE>, shape: STRING>>"
     parsed, unreadable = docs.json_value(replies, raw, schema, "layout")
     parsed = parsed.select(page, page_w, page_h, F.col("layout.summary").alias("summary"), F.col("layout.panels").alias("panels"))
+    parsed = cut_lineage(parsed)  # replies are parsed once, the checks below read them several times
     panels = parsed.select(page, page_w, page_h, F.inline("panels")).select(
         page, page_w, page_h, "no", "shape", *[F.try_element_at("bbox", F.lit(i + 1)).alias(c) for i, c in enumerate("xywh")])
     errors = cut_lineage(rules.check_layout(parsed.select(page, "summary"), panels, page, "no", "x", "y", "w", "h", "shape", "summary"))

@@ -46,11 +46,10 @@ e AS (SELECT *, l_partkey % 10 + 0.5 AS t2, CASE WHEN l_suppkey % 5 <> 0 THEN l_
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws('|', CASE WHEN t3 <= t2 THEN 'times not increasing' END,
   CASE WHEN t2 >= dur OR coalesce(t3 >= dur, false) THEN 'time out of range' END) AS errors FROM e""")
 def monotone_timestamps(t):
-    from ..operators.shape import rule_errors
     two = F.concat(F.lit("[Shot 1] x [Shot 2] At 00:0"), (F.col("l_partkey") % 10).cast("string"), F.lit(".500, y "))
     three = F.when(F.col("l_suppkey") % 5 == 0, "").otherwise(F.concat(F.lit("[Shot 3] At 00:0"), (F.col("l_suppkey") % 10).cast("string"), F.lit(".250, z")))
     d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(two, three).alias("p"), (F.col("l_quantity") / 4).alias("dur"))
-    return d.withColumn("errors", F.array_join(rule_errors(wn.shot_rules(F.col("p"), F.col("dur"))), "|")).drop("p", "dur")
+    return d.withColumn("errors", F.array_join(wn.shot_errors(F.col("p"), F.col("dur")), "|")).drop("p", "dur")
 
 
 @query("crossfade_offsets", f"""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import strip
-
 PAGE_SCHEMA = """
   page INT, file STRING, summary STRING, notes STRING,
   panels ARRAY<STRUCT<no: INT, key: STRING, bbox: ARRAY<DOUBLE>, shape: STRING, crop: STRING,
@@ -36,7 +34,7 @@ def read_page_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_section_docs(spark: SparkSession, path: str, name_pattern: str) -> DataFrame:
     """Whole text files with the key that the first group of the pattern finds in the file name."""
-    df = spark.read.option("wholetext", "true").text(path).select(
+    df = spark.read.text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_name", name_pattern, 1).alias("doc"), F.col("value").alias("text")
     )
     return df.where(F.col("doc") != "")
@@ -77,7 +75,7 @@ def ledger_rows(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Run files ``{id, created, params, stages}`` as ledger rows."""
-    d = spark.read.option("wholetext", "true").text(path)
+    d = spark.read.text(path, wholetext=True)
     d = d.select(
         F.get_json_object("value", "$.id").alias("run_id"), F.get_json_object("value", "$.stages").alias("stages")
     )
@@ -88,17 +86,16 @@ def json_value(df: DataFrame, col: str, schema: str, out: str = "record") -> tup
     """Parsed JSON of a model reply (code fence stripped), and the rows where none was found.
 
     The plain and the fenced reply are parsed on the JVM; only replies with text around the
-    value go through the bracket scan in Python.
+    value go through the bracket scan in Python, the others enter it as nulls.
     """
     from .json_scan import first_json
 
-    fenced = F.regexp_extract(col, r"(?s)```(?:json|JSON)?\s*(.*?)```", 1)
-    body = strip(F.when(fenced != "", fenced).otherwise(F.col(col)))
-    whole = body.rlike(r"(?s)^[\{\[].*[\}\]]$") & F.try_parse_json(body).isNotNull()
-    d = df.withColumn("_body", body)
-    easy = d.where(whole).withColumn("_json", F.col("_body"))
-    hard = d.where(~F.coalesce(whole, F.lit(False))).withColumn("_json", first_json(F.col("_body")))
-    found = easy.unionByName(hard).drop("_body")
-    parsed = found.withColumn(out, F.from_json("_json", schema))
-    ok = F.col("_json").isNotNull() & F.col(out).isNotNull()
-    return parsed.where(ok).drop("_json"), parsed.where(~ok).drop("_json", out)
+    d = df.withColumn("_f", F.regexp_extract(col, r"(?s)```(?:json|JSON)?\s*(.*?)```", 1))
+    d = d.withColumn("_body", F.trim(F.when(F.col("_f") != "", F.col("_f")).otherwise(F.col(col)), F.lit(" \n\r\t"))).drop("_f")
+    first, last = F.substring("_body", 1, 1), F.substring("_body", -1, 1)
+    framed = ((first == "{") & (last == "}")) | ((first == "[") & (last == "]"))
+    d = d.withColumn("_easy", F.coalesce(framed & F.try_parse_json("_body").isNotNull(), F.lit(False)))
+    d = d.withColumn("_scan", first_json(F.when(~F.col("_easy"), F.col("_body"))))
+    d = d.withColumn(out, F.from_json(F.when(F.col("_easy"), F.col("_body")).otherwise(F.col("_scan")), schema))
+    d = d.drop("_body", "_easy", "_scan")
+    return d.where(F.col(out).isNotNull()), d.where(F.col(out).isNull()).drop(out)

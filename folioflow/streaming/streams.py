@@ -80,9 +80,9 @@ def retry_machine(verdicts: DataFrame, unit: str, attempt: str, passed: str, poi
 
     def step(key, batches, state):
         used, closed = state.get if state.exists else (0, False)
-        rows = pd.concat(list(batches)).sort_values(attempt)
+        rows = sorted(r for b in batches for r in zip(b[attempt], b[passed], b[points], b[infra]))
         out = []
-        for a, ok, pts, broke in zip(rows[attempt], rows[passed], rows[points], rows[infra]):
+        for a, ok, pts, broke in rows:
             if closed:
                 break
             if broke:
