@@ -16,7 +16,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, line breaks included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def is_blank(c: Column) -> Column:

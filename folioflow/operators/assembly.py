@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import boxes, fixed, seeds
 from ..functions.clock import clock_seconds
 from ..functions.text import drop_cjk_tags, gender, strip, tokens
+from ..session import cut_lineage
 from .aggregates import count_tag, exclusive_negatives, ordered_concat
 from .intervals import state_at
 
@@ -43,6 +44,7 @@ def assemble_prompts(
     crop_h: str = "crop_h", blocks=None,
 ) -> DataFrame:
     """One prompt per panel. A panel with more than 1000 entities goes on in further parts."""
+    resolved = cut_lineage(resolved)  # read for the texts, the counts and the negatives
     block = entity_block(F.col("anchor"), F.col(tags), F.col(state_tags))
     texts = ordered_concat(resolved, [panel], order, block, ", ", blocks=blocks)
     counts = count_tag(resolved, [panel], sex)

@@ -3,10 +3,16 @@
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
+from ..session import cut_lineage
 from .registry import query
 from .views import STATES_SQL, entity_states
 
 
+def _states(t):
+    """The states are derived by a grouping and read several times, so they are stored once."""
+    return cut_lineage(entity_states(t))
+
+
 def _facts(t):
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("entity"), (F.col("l_linenumber") * 8).alias("pos")
@@ -83,13 +89,13 @@ SELECT entity, ord, lo, hi, prev_hi FROM w WHERE lo <= prev_hi"""
 
 @query("overlaps", _OVERLAP_SQL.format(st=STATES_SQL, agg="lag(hi)", frame=""))
 def overlaps(t):
-    return iv.overlaps(entity_states(t), ["entity"])
+    return iv.overlaps(_states(t), ["entity"])
 
 
 @query("overlaps_running", _OVERLAP_SQL.format(
     st=STATES_SQL, agg="max(hi)", frame="ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"))
 def overlaps_running(t):
-    return iv.overlaps(entity_states(t), ["entity"], running=True)
+    return iv.overlaps(_states(t), ["entity"], running=True)
 
 
 _NORMALISED_SQL = f"""{STATES_SQL},
@@ -110,7 +116,7 @@ norm AS (SELECT entity, min(o) AS ord, min(pg) AS lo, max(pg) AS hi FROM isl GRO
 
 @query("normalise_states", f"WITH {_NORMALISED_SQL} SELECT entity, ord, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM norm")
 def normalise_states(t):
-    return iv.normalise_states(entity_states(t), ["entity"], 5, 45)
+    return iv.normalise_states(_states(t), ["entity"], 5, 45)
 
 
 @query("repaired_keys", f"""WITH {_NORMALISED_SQL},
@@ -118,7 +124,7 @@ a AS (SELECT entity, string_agg(ord || ':' || lo || '-' || hi, ',' ORDER BY ord)
 b AS (SELECT entity, string_agg(ord || ':' || lo || '-' || hi, ',' ORDER BY lo) AS s FROM norm GROUP BY 1)
 SELECT a.entity FROM a JOIN b ON a.entity = b.entity WHERE a.s <> b.s""")
 def repaired_keys(t):
-    st = entity_states(t)
+    st = _states(t)
     return iv.repaired_keys(st, iv.normalise_states(st, ["entity"], 5, 45), ["entity"])
 
 
@@ -133,13 +139,13 @@ FROM (SELECT *, lag(hi) OVER (PARTITION BY entity ORDER BY lo, hi, ord) AS ph FR
 
 @query("coverage_gaps", f"WITH {STATES_SQL}, {_REQ_SQL} " + _GAPS_SQL.format(st="st"))
 def coverage_gaps(t):
-    return iv.coverage_gaps(entity_states(t), _required(t), ["entity"], "pos")
+    return iv.coverage_gaps(_states(t), _required(t), ["entity"], "pos")
 
 
 @query("check_intervals", f"WITH {STATES_SQL}, {_REQ_SQL} "
        + _ERRORS_SQL.format(st="st", gaps=_GAPS_SQL.format(st="st")))
 def check_intervals(t):
-    return iv.interval_errors(entity_states(t), _required(t), ["entity"], "pos")
+    return iv.interval_errors(_states(t), _required(t), ["entity"], "pos")
 
 
 @query("repair_states", f"""WITH {_NORMALISED_SQL.replace('5 AND lo <= 45', '1 AND lo <= 60').replace('greatest(lo, 5)', 'greatest(lo, 1)')

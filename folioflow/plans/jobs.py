@@ -59,7 +59,7 @@ def settings_and_scripts(
 def prompts(panels: DataFrame, mentions: DataFrame, entities: DataFrame, states: DataFrame, panel: str, entity: str, page: str, order: list[str], run_id: str, blocks=None) -> dict[str, DataFrame]:
     """Resolved cast, assembled prompts, and the tags that a prompt should hold but lacks."""
     cast = asm.resolve_entities(mentions, entities, states, entity, page, ["state_tags"]).withColumn("state_tags", F.coalesce("state_state_tags", F.lit("")))
-    cast = cut_lineage(cast)
+    cast = cut_lineage(cast)  # stored rows, as the tags are read again below
     made = cut_lineage(asm.assemble_prompts(panels, cast, panel, order, run_id, blocks=blocks))
     need = cast.select(panel, entity, F.explode(tag_set(F.concat_ws(",", "tags", "state_tags"))).alias("tag"))
     have = made.select(panel, F.explode(tag_set(F.col("positive"))).alias("tag"))
