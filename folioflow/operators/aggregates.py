@@ -150,8 +150,8 @@ def stage_benchmark(base: DataFrame, run: DataFrame, stage: str, seconds: str) -
         return df.groupBy(stage).agg(F.sum(F.col(seconds).cast("decimal(18,2)")).cast("double").alias(name))
 
     d = per(base, "base_seconds").join(per(run, "run_seconds"), stage, "full_outer")
-    total = run.agg(F.sum(F.col(seconds).cast("decimal(18,2)")).cast("double").alias("_t"))
-    return d.join(total).select(
+    total = run.agg(F.sum(F.col(seconds).cast("decimal(18,2)")).cast("double").alias("_t")).scalar()
+    return d.withColumn("_t", total).select(
         stage, "base_seconds", "run_seconds",
         ((F.col("base_seconds") - F.col("run_seconds")) * 100 / F.col("base_seconds")).alias("reduction_pct"),
         (F.col("run_seconds") * 100 / F.col("_t")).alias("share_pct"))

@@ -156,8 +156,8 @@ def coverage_gaps(
     holes = d.where(F.col("_lo") > F.col("_seen") + 1).select(
         *keys, (F.col("_seen") + 1).alias("_lo"), (F.col("_lo") - 1).alias("_hi")
     )
-    ends = required.agg(F.min(pos).cast("bigint").alias("_first"), F.max(pos).cast("bigint").alias("_last"))
-    edge = span.groupBy(*keys).agg(F.min("_lo").alias("_min"), F.max("_hi").alias("_max")).join(ends)
+    edge = span.groupBy(*keys).agg(F.min("_lo").alias("_min"), F.max("_hi").alias("_max")).withColumns({
+        "_first": required.agg(F.min(pos).cast("bigint")).scalar(), "_last": required.agg(F.max(pos).cast("bigint")).scalar()})
     head = edge.select(*keys, F.col("_first").alias("_lo"), F.least(F.col("_min") - 1, F.col("_last")).alias("_hi"))
     tail = edge.select(*keys, F.greatest(F.col("_max") + 1, F.col("_first")).alias("_lo"), F.col("_last").alias("_hi"))
     holes = holes.unionByName(head).unionByName(tail)

@@ -56,8 +56,9 @@ def phrase_hits(docs: DataFrame, doc: str, text: str, phrases: DataFrame, pid: s
     anchors = whole
     if not short.isEmpty():  # most dictionaries have long phrases only; then the texts are split once
         vocab = words.select("_w").distinct()
-        lengths = short.select("_start", F.length("_s").alias("_n")).distinct()  # a handful of rows
-        cut = vocab.join(lengths, F.length("_w") >= F.col("_n"))
+        # one entry per token length in use, so the set stays small
+        lengths = short.agg(F.collect_set(F.struct("_start", F.length("_s").alias("_n"))).alias("_l")).scalar()
+        cut = vocab.withColumn("_l", lengths).select("_w", F.inline(F.filter("_l", lambda x: x["_n"] <= F.length("_w"))))
         at = F.when(F.col("_start"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_w") - F.col("_n") + 1))
         cut = cut.select("_w", "_start", "_n", F.explode(at).alias("_i")).select(
             "_w", "_start", F.substring(F.col("_w"), F.col("_i"), F.col("_n")).alias("_s"))

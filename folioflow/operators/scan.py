@@ -123,3 +123,13 @@ def ordered_scan(
 def numbered(df, keys, order, out="rn", blocks=None) -> DataFrame:
     """Dense 1..n per key in a total order."""
     return ordered_scan(df, keys, order, blocks, row_number=out)
+
+
+def table_order(df: DataFrame, lead: str, rest: list[str], out: str, blocks: list[Column] | None = None, step: int = 1 << 20) -> DataFrame:
+    """Dense 1..n over the whole table by (lead, rest): rows of smaller leads plus the place within
+    the own lead. Only the counts per lead are summed over the table, in steps of ``step`` leads;
+    the rows of one lead are cut by ``blocks``, so neither many leads nor a hot one meet in a task."""
+    counts = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = ordered_scan(counts, [], [lead], by_width(F.col(lead), step), sums={"_ahead": F.col("_n")}).drop("_n")
+    inner = numbered(df, [lead], rest, "_rn", blocks)
+    return inner.join(ahead, lead).select(*df.columns, (F.col("_ahead") + F.col("_rn")).cast("bigint").alias(out))

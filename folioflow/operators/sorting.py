@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from .scan import numbered
+from .scan import table_order
 
 
-def natural_order(df: DataFrame, number: str, name: str, tie: str, out: str = "pos", width: int = 1) -> DataFrame:
-    """Dense position by (number, name) over the whole table."""
-    # fixed value: the first 2 characters of the name split numbers that many files share
-    return numbered(df, [], [number, name, tie], out, [F.floor(F.col(number) / width).cast("bigint"), F.substring(name, 1, 2)])
+def natural_order(df: DataFrame, number: str, name: str, tie: str, out: str = "pos") -> DataFrame:
+    """Dense position by (number, name, tie) over the whole table; ``tie`` is a number."""
+    return table_order(df, number, [name, tie], out, [F.col(name), F.floor(F.col(tie) / 65536)])
 
 
 def _stage_rank(stage: Column, stages: list[str]) -> Column:
@@ -41,8 +40,10 @@ def closest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str
 
     Names and prefixes meet by equality on the cut name, one probe per prefix length in use.
     """
-    sizes = prefixes.select(F.length(prefix).alias("_n")).distinct()
-    cut = names.select(name).join(sizes, F.length(name) >= F.col("_n")).select(
+    # at most one entry per possible length, so the set stays small
+    sizes = prefixes.agg(F.collect_set(F.length(prefix)).alias("_n")).scalar()
+    cut = names.select(name).withColumn("_sizes", sizes)
+    cut = cut.select(name, F.explode(F.filter("_sizes", lambda n: n <= F.length(name))).alias("_n")).select(
         F.col(name), F.substring(name, F.lit(1), F.col("_n")).alias("_p"))
     per = cut.groupBy("_p").agg(
         F.count(F.lit(1)).alias("n_names"),

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import let
-from .scan import by_width, numbered, ordered_scan
+from .scan import by_width, numbered, ordered_scan, table_order
 from .shape import rule_errors
 
 
-def global_order(df: DataFrame, page: str, rest: list[str], out: str = "position") -> DataFrame:
-    """Dense 1..n over the whole table by (page, ...)."""
-    return numbered(df, [], [page, *rest], out, [F.floor(F.col(page) / 256).cast("bigint")])
+def global_order(df: DataFrame, page: str, rest: list[str], out: str = "position", blocks=None) -> DataFrame:
+    """Dense 1..n over the whole table by (page, ...); ``blocks`` cut the order inside a page."""
+    return table_order(df, page, rest, out, blocks)
 
 
 def chunk(df: DataFrame, keys: list[str], order: list[str], size: int = 4, blocks=None) -> DataFrame:

@@ -13,7 +13,7 @@ _O = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 @query("global_order", f"SELECT l_orderkey, {_O}, row_number() OVER (ORDER BY l_orderkey, {_O}) AS position FROM lineitem")
 def global_order(t):
-    return wn.global_order(t.lineitem.select("l_orderkey", *PANEL_ORDER), "l_orderkey", PANEL_ORDER)
+    return wn.global_order(t.lineitem.select("l_orderkey", *PANEL_ORDER), "l_orderkey", PANEL_ORDER, blocks=panel_blocks())
 
 
 @query("chunk", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS chunk FROM conversations")
