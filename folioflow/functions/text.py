@@ -19,6 +19,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
+def number(c: Column, kind: str) -> Column:
+    """Number from a pattern match; no match (empty) gives null. Cheaper than a failing cast."""
+    return F.when(c != "", c).cast(kind)
+
+
 def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes, fixed, seeds
 from ..functions.clock import clock_seconds
-from ..functions.text import drop_cjk_tags, gender, strip, tokens
+from ..functions.text import drop_cjk_tags, gender, number, strip, tokens
 from ..session import cut_lineage
 from .aggregates import count_tag, exclusive_negatives, ordered_concat
 from .intervals import state_at
@@ -101,10 +101,10 @@ def media_from_logs(df: DataFrame, log: str) -> DataFrame:
     d = df.withColumn("_d", get(r"Duration:\s*(\d+:\d+:\d+(?:\.\d+)?)"))
     return d.withColumns({
         "duration": F.coalesce(clock_seconds(F.col("_d")), F.lit(0.0)),
-        "w": F.coalesce(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})").try_cast("int"), F.lit(0)),
-        "h": F.coalesce(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})", 2).try_cast("int"), F.lit(0)),
-        "fps": F.coalesce(get(r"(\d+(?:\.\d+)?)\s+fps").try_cast("double"), get(r"(\d+(?:\.\d+)?)\s+tbr").try_cast("double"), F.lit(fixed.FPS_DEFAULT)),
-        "sample_rate": F.coalesce(get(r"(\d+)\s+Hz").try_cast("int"), F.lit(fixed.RATE_DEFAULT)),
+        "w": F.coalesce(number(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})"), "int"), F.lit(0)),
+        "h": F.coalesce(number(get(r"Video:\s*.*?(\d{2,5})x(\d{2,5})", 2), "int"), F.lit(0)),
+        "fps": F.coalesce(number(get(r"(\d+(?:\.\d+)?)\s+fps"), "double"), number(get(r"(\d+(?:\.\d+)?)\s+tbr"), "double"), F.lit(fixed.FPS_DEFAULT)),
+        "sample_rate": F.coalesce(number(get(r"(\d+)\s+Hz"), "int"), F.lit(fixed.RATE_DEFAULT)),
         "channels": F.when(layout == "", fixed.LAYOUT_DEFAULT).otherwise(layout),
         "has_audio": c.contains("Audio:"),
     }).drop("_d")

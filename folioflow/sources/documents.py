@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import number
+
 PAGE_SCHEMA = """
   page INT, file STRING, summary STRING, notes STRING,
   panels ARRAY<STRUCT<no: INT, key: STRING, bbox: ARRAY<DOUBLE>, shape: STRING, crop: STRING,
@@ -46,10 +48,10 @@ def parse_log_lines(df: DataFrame, line: str) -> DataFrame:
     return df.where(F.col(line).rlike(_LOG)).withColumns({
         "log_ts": F.to_timestamp_ntz(F.concat(part(1), F.lit("."), part(2)), F.lit("yyyy-MM-dd HH:mm:ss.SSS")),
         "level": part(3), "message": part(4),
-        "ok_seconds": F.regexp_extract(line, r"llm ok in ([0-9.]+)s", 1).try_cast("double"),
+        "ok_seconds": number(F.regexp_extract(line, r"llm ok in ([0-9]+(?:\.[0-9]+)?)s", 1), "double"),
         "failed": F.col(line).rlike(r"attempt \d+ failed"),
-        "total_seconds": F.regexp_extract(line, r"total=([0-9.]+)s", 1).try_cast("double"),
-        "content_chars": F.regexp_extract(line, r"content=(\d+)c", 1).try_cast("int"),
+        "total_seconds": number(F.regexp_extract(line, r"total=([0-9]+(?:\.[0-9]+)?)s", 1), "double"),
+        "content_chars": number(F.regexp_extract(line, r"content=(\d+)c", 1), "int"),
     })
 
 
