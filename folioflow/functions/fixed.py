@@ -28,6 +28,9 @@ NONE_PREFIXES = ["（无", "(无"]
 NOTE_WORDS = ["注", "本镜", "说明", "旁白说明", "画外音说明"]
 NARRATION_MARK = "旁白"
 
+# fixed values: default texts
+NO_TEXT, NO_GIST, NO_STATES, FALLBACK_BEAT = "（无）", "（见 L3 脚本）", "（未定义）", "（确定性兜底分段）"
+
 # fixed values: size buckets (width, height) and aspect limits
 SIZE_BUCKETS = {"vertical": (1024, 1408), "horizontal": (1408, 1024), "square": (1216, 1216)}
 ASPECT_LOW, ASPECT_HIGH = 0.8, 1.25

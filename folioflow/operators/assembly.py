@@ -82,7 +82,7 @@ def repair_prompts(prompts: DataFrame, cast: DataFrame, entities: DataFrame, pan
     return p.withColumn("positive", positive_text(F.col("count_tag"), F.col("text"), F.col("scene_tags"), F.col("quality_tail"))).select(*prompts.columns)
 
 
-def entity_card(name: Column, sex: Column, appearance: Column, states: Column, none: str = "（未定义）") -> Column:
+def entity_card(name: Column, sex: Column, appearance: Column, states: Column, none: str = fixed.NO_STATES) -> Column:
     """Card text of one entity."""
     states = F.when(F.coalesce(states, F.lit("")) == "", F.lit(none)).otherwise(states)
     return F.concat(F.lit("### "), name, F.lit("（"), gender(sex), F.lit("）\n- "), appearance, F.lit("\n- "), states)

@@ -62,7 +62,7 @@ def check_headings(docs: DataFrame, text: str, headings: list[str], summary: str
     return docs.withColumn("errors", errs)
 
 
-def repair_headings(docs: DataFrame, text: str, headings: list[str], fallbacks: dict[str, Column], none: str = "（无）") -> DataFrame:
+def repair_headings(docs: DataFrame, text: str, headings: list[str], fallbacks: dict[str, Column], none: str = fixed.NO_TEXT) -> DataFrame:
     """Sections in canonical order under their heading; blank ones filled from columns.
 
     Headings of another level are set right; text before the first heading goes to the first
@@ -127,7 +127,7 @@ def dialogue_table(docs: DataFrame, keys: list[str], body: str) -> DataFrame:
     return d.where((F.col("text") != "") & ~note(F.col("text"), tail_words) & ~starts_with_any(F.col("text"), fixed.NONE_PREFIXES))
 
 
-def panel_digest(docs: DataFrame, text: str, cast_title: str, gist_titles: list[str], limit: int = 80, none: str = "（见 L3 脚本）") -> DataFrame:
+def panel_digest(docs: DataFrame, text: str, cast_title: str, gist_titles: list[str], limit: int = 80, none: str = fixed.NO_GIST) -> DataFrame:
     """Number of people named in the cast section and a short gist of the first filled section."""
     d = docs.withColumn("_secs", section_array(F.col(text)))
 

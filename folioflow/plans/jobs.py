@@ -85,7 +85,7 @@ def segments(units: DataFrame, keys: list[str], unit: str, order: list[str]) ->
     """Fallback segmentation of ordered units, and its check against the units."""
     packed = cut_lineage(sg.pack_sequential(units, keys, order))
     segs = packed.groupBy(*keys, "seg").agg(F.count(F.lit(1)).alias("n_units"), (F.count(F.lit(1)) * fixed.UNIT_SECONDS).alias("duration"))
-    segs = segs.withColumn("beat", F.lit("（确定性兜底分段）"))
+    segs = segs.withColumn("beat", F.lit(fixed.FALLBACK_BEAT))
     errors = rules.check_segments(segs, packed, units, keys, seg="seg", place=["seg"], duration="duration", beat="beat", unit=unit, order=["seg", "pos"], unit_order=order)
     return {"segments": sg.half_split(segs, [*keys, "seg"], "n_units", "duration"), "units": packed, "errors": errors}
 
