@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+
 
 def local_session(cores: str = "8", app: str = "folioflow") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -35,20 +39,32 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
+
+    Only a session in one process (a local test) may go without it and gets a folder of its own;
+    on a cluster a folder of one machine would lose data, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark not in _local:
+        _local[spark] = tempfile.mkdtemp(prefix="folioflow-")
+    return _local[spark]
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for streaming state and output, below the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for streaming state, output and stored rows, below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names.
+def cut_lineage(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write the rows as parquet into the shared folder and read them back.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a scratch folder.
+    Later reads prune columns, know the size, and survive a lost executor.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioflow-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
