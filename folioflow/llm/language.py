@@ -30,13 +30,13 @@ def train_languages(
     return {k: ByteTree(*v) for k, v in sorted(count_contexts(sample, F.col("l"), F.col("t"), contexts).items())}
 
 
-def script_language(scripts: DataFrame, models: dict[str, ByteTree], key: str = "panel", content: str = "content") -> DataFrame:
+def script_language(scripts: DataFrame, models: dict[str, ByteTree], key: str = "panel", content: str = "content", carry: list[str] | None = None) -> DataFrame:
     """Language of each whole script: the tree that codes it shortest; ties go to the smaller name.
 
-    Returns ``key``, ``lang_pred`` and ``score``, the share of that language if each is weighed by two to
+    Returns ``key``, the columns of ``carry``, ``lang_pred`` and ``score``, the share of that language if each is weighed by two to
     the minus code length (0 to 1). A text that is null or without a letter, or any text when no
     language was learned, is ``und`` with score 0. Repeated rows and null keys give a row each; other
-    columns of ``scripts`` are not read.
+    columns of ``scripts`` are not read. A carried column of a result's name gives way to the result.
     """
     names = list(models)
     trees = scripts.sparkSession.sparkContext.broadcast([models[n] for n in names])
@@ -51,9 +51,12 @@ def script_language(scripts: DataFrame, models: dict[str, ByteTree], key: str =
                 share = 1 / np.exp2(np.maximum(bits.min(0) - bits, -1000)).sum(0)
                 lang = np.where(spoken, np.array(names, object)[best], UNKNOWN)
                 score = np.where(spoken, share, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), *b.columns[3:]], names=["id", "lang_pred", "score", *b.schema.names[3:]])
 
     t = F.col(content)
-    rows = scripts.select(F.col(key).alias("id"), t.alias("t"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("spoken"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").select(
-        F.col("id").alias(key), "lang_pred", "score")
+    more = [c for c in carry or [] if c not in (key, "lang_pred", "score")]
+    rows = scripts.select(
+        F.col(key).alias("id"), t.alias("t"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("spoken"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(more)])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(["id " + kinds["id"], "lang_pred string", "score double", *[f"_{i} {kinds[f'_{i}']}" for i in range(len(more))]])
+    return rows.mapInArrow(run, out).select(F.col("id").alias(key), *[F.col(f"_{i}").alias(c) for i, c in enumerate(more)], "lang_pred", "score")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import Tables
-from . import bpe, language, minhash, scoring, secrets
+from ..session import Tables, cut_lineage, scratch_folder
+from . import bpe, descent, language, lines, minhash, mixture, multiindex, scoring, secrets, warc
 
 #: where the public tokenizer's vocabulary lies
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,15 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = Tables(spark, folder).embeddings
+    return multiindex.nearest(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 20)
+
+
+def op2_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return descent.near_duplicate_vectors(Tables(spark, folder).embeddings, "vec_id", "embedding", 0.9)
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).documents
     models = language.train_languages(docs, F.coalesce(remainder(3) != 1, F.lit(False)), "doc_id", "text", "lang")
@@ -28,6 +37,20 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.script_language(docs, models, "doc_id", "text").select("doc_id", held, "lang_pred", "score")
 
 
+def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = Tables(spark, folder).documents
+    return mixture.mix_prompts(docs, "doc_id", "source").select("doc_id", "source", "copy", "shuffle_key", "text")
+
+
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = Tables(spark, folder).pages
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000)))
+    archives = scratch_folder(spark, "archives")
+    warc.write_archives(pages.select("page_id", "url", "html", at.alias("captured_at")), archives, "page_id", "url", "captured_at", "html")
+    history = warc.capture_histories(cut_lineage(warc.read_runs(spark, archives), "runs"))
+    return history.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).documents
     ratios = secrets.train_string_models(secrets.labelled_samples(docs, "doc_id", "text"))
@@ -36,6 +59,10 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.span_text(F.col("found")).alias("spans"))
 
 
+def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.drop_repeated_lines(Tables(spark, folder).documents, "doc_id", "text")
+
+
 def op8_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).documents
     held = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
@@ -52,6 +79,29 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicate_scripts(Tables(spark, folder).documents, "doc_id", "text", words=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_language, op6_secrets, op8_ppm_score, op9_bpe, op10_minhash)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_multi_index, op2_nn_descent, op3_language, op4_mixture, op5_warc, op6_secrets, op7_lines, op8_ppm_score, op9_bpe, op10_minhash)}
+
+#: each text is SQL of DuckDB over the same tables
+SQL: dict[str, str] = {
+    "op4_mixture": """
+        WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        aims AS (SELECT source, pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+        rates AS (SELECT source, rate, greatest(1, ceil(rate / 32))::INT AS parts, rate / greatest(1, ceil(rate / 32)) AS r FROM aims),
+        logs AS (SELECT source, parts, k, r, ceil(r + 12 * sqrt(r) + 40) AS top,
+                 CASE WHEN k = 0 THEN -r ELSE ln(r) - ln(k) END AS l FROM rates, (SELECT unnest(range(0, 400)) AS k) WHERE k <= ceil(r + 12 * sqrt(r) + 40)),
+        pmf AS (SELECT source, parts, k, exp(sum(l) OVER (PARTITION BY source ORDER BY k)) AS p FROM logs),
+        cdf AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+        draws AS (SELECT doc_id, source, text, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u
+                  FROM documents JOIN rates USING (source), unnest(range(0, parts)) AS t(part)),
+        copies AS (SELECT doc_id, any_value(source) AS source, any_value(text) AS text, sum((SELECT count(*) FROM cdf WHERE cdf.source = draws.source AND c <= u)) AS n FROM draws GROUP BY doc_id)
+        SELECT doc_id, source, copy::INT AS copy, md5('17:' || doc_id || ':copy:' || copy) AS shuffle_key, text
+        FROM copies, unnest(range(1, n::BIGINT + 1)) AS t(copy)""",
+    "op5_warc": """
+        WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        firsts AS (SELECT body, max(page_id) AS top FROM hashed GROUP BY body)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1) for i in range(32)], '') AS payload_digest,
+               CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to
+        FROM hashed JOIN firsts USING (body)""",
+}
