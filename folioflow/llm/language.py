@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ppm import ByteTree, count_contexts
 from .shared import as_bytes
 
@@ -26,7 +27,7 @@ def train_languages(
         F.col(lang).alias("l"), F.col(content).alias("t"), F.xxhash64(F.col(key)).alias("h"))
     # the hash that ends the sample is found first, so that no texts are moved to find it
     edge = known.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= rows).groupBy("l").agg(F.max("h").alias("to"))
-    sample = known.join(edge, "l").where("h <= to")
+    sample = known.join(cut_lineage(edge, "edges"), "l").where("h <= to")
     return {k: ByteTree(*v) for k, v in sorted(count_contexts(sample, F.col("l"), F.col("t"), contexts).items())}
 
 

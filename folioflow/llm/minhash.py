@@ -105,9 +105,10 @@ def near_duplicate_scripts(
     * Scripts of equal words are one class and need no comparison.
     * ``bands * rows`` bins of one permutation give ``bands`` bucket keys per class. A pair at 0.8
       shares a bucket with a probability of 1 - (1 - 0.8^5)^32 = 0.999997.
-    * The members of a bucket are paired with one pivot, drawn anew per bucket and round, so pairs grow
-      with the number of members only. Each pair is confirmed on the full shingle sets. Rounds go on
-      over buckets that still hold several components until a round links nothing more (at most ``rounds``).
+    * The members of a bucket are paired with one pivot, so pairs grow with the number of members only.
+      Each pair is confirmed on the full shingle sets. In later rounds one member of each component that
+      still meets others in a bucket is drawn, and the pivot among these; a pair is tried once. Rounds end
+      when one links nothing more (at most ``rounds``).
 
     A null or blank text has no shingles and links with nothing; a text shorter than ``words`` is one
     shingle. Rows of one key are one script for linking and stay as many rows. A null key links with
@@ -128,33 +129,29 @@ def near_duplicate_scripts(
     texts = docs.join(members.select("id").distinct(), "id", "left_semi")
     texts = cut_lineage(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
 
-    links = tested = None
     labels = members.select("id").distinct().withColumn("c", F.col("id"))
     for turn in range(rounds):
-        at = members if turn == 0 else members.join(labels, "id")
-        at = at.withColumn("c", F.col("id")) if turn == 0 else at
-        order = F.xxhash64(F.lit(turn), "band", "id")
-        pivots = at.groupBy("band", "bucket").agg(
-            F.min_by(F.struct(F.col("id").alias("pivot"), F.col("c").alias("pc")), F.struct(order, "id")).alias("p")).select("band", "bucket", "p.*")
-        pairs = at.join(pivots, ["band", "bucket"]).where("c <> pc").select(
-            F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        if tested is not None:
+        # one member of each component that meets in a bucket, and one of these as its pivot
+        order = F.struct(F.lit(0), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "band", "id"), "id")
+        at = members.withColumn("c", F.col("id")) if turn == 0 else members.join(labels, "id").groupBy("band", "bucket", "c").agg(F.min_by("id", order).alias("id"))
+        pivots = at.groupBy("band", "bucket").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("c").alias("pc")), order).alias("p")).select("band", "bucket", "p.*")
+        pairs = at.join(pivots, ["band", "bucket"]).where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        if turn:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = pairs if turn == 0 else tested.unionByName(pairs)
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
         both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
         found = cut_lineage(both.mapInArrow(_confirmed(words, percent), f"a {kind}, b {kind}"), "confirmed")
         if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-        groups = cut_lineage(components(links), "groups")
-        labels = members.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select(
-            "id", F.coalesce("component", "id").alias("c"))
+        joined = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        groups = components(joined)
+        labels = cut_lineage(labels.join(groups, F.col("c") == F.col("node"), "left").select("id", F.coalesce("component", "c").alias("c")), "groups")
 
     rep = signed.join(classes.select("digest", "rep"), "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    if links is not None:
-        rep = rep.join(groups, rep["rep"] == groups["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
+    named = labels.select(F.col("id").alias("node"), F.col("c").alias("component"))
+    rep = rep.join(named, rep["rep"] == named["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
     root = F.when(F.col("id").isNotNull(), F.col("rep"))
     return rep.select(
         F.col("id").alias(key), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))

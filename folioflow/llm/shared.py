@@ -19,18 +19,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) lead to, for every node with a link.
 
-    Each round takes the least label of the neighbours and then jumps to the label of the label,
-    so rounds grow with the logarithm of a chain. Labels are combined before each shuffle, and a
-    node with very many links is split by the skew handling of joins. Rounds end when no label moves.
+    Each round hooks every node to its smallest neighbour, jumps to the hook of the hook, and contracts the links
+    to what they join; so links shrink from round to round, and rounds grow with the logarithm of a chain.
+    Neighbours are combined before the shuffle; a node with very many links is split by the skew handling of joins.
     """
-    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-    e = cut_lineage(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = cut_lineage(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels")
+    e = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    labels = None
     while True:
-        near = e.join(labels, e["v"] == labels["node"]).groupBy("u").agg(F.min("c").alias("n"))
-        least = labels.join(near, labels["node"] == near["u"]).select("node", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        to = labels.select(F.col("node").alias("_at"), F.col("c").alias("_c"))
-        moved = cut_lineage(least.join(to, least["c"] == to["_at"]).select("node", "old", F.least("c", "_c").alias("c")), "labels")
-        labels = moved.select("node", "c")
-        if moved.where("c <> old").isEmpty():
-            return labels.select("node", F.col("c").alias("component"))
+        both = e.select(F.col("a").alias("node"), F.col("b").alias("o")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("o")))
+        hook = cut_lineage(both.groupBy("node").agg(F.least(F.min("o"), F.col("node")).alias("p")), "hooks")
+        far = hook.select(F.col("node").alias("_n"), F.col("p").alias("_p"))
+        hook = cut_lineage(hook.join(far, hook["p"] == far["_n"]).select("node", F.col("_p").alias("p")), "hooks")
+        if labels is None:
+            labels = hook.select("node", F.col("p").alias("component"))
+        else:
+            labels = labels.join(hook.withColumnRenamed("node", "_n"), F.col("component") == F.col("_n"), "left").select(
+                "node", F.coalesce("p", "component").alias("component"))
+            labels = cut_lineage(labels, "labels")
+        e = e.join(hook.toDF("a", "pa"), "a").join(hook.toDF("b", "pb"), "b").where("pa <> pb")
+        e = cut_lineage(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        if e.isEmpty():
+            return labels
