@@ -46,31 +46,32 @@ def found(text: Column, rule: str, kind: int, keep=None, group: int = 0) -> Colu
 
 def _pairs(value: Column) -> Column:
     """Numbers of the character pairs of a string, -1 for a pair with another character."""
-    def place(i):
-        return F.instr(F.lit(SYMBOLS), F.substring(value, i, F.lit(1))) - 1
-
-    def pair(i):
-        a, b = place(i), place(i + 1)
-        return F.when((a < 0) | (b < 0), F.lit(-1)).otherwise(a * _N + b)
-
-    return F.when(F.length(value) > 1, F.transform(F.sequence(F.lit(1), F.length(value) - 1), pair)).otherwise(F.array().cast("array<int>"))
+    n = F.length(value)
+    at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    pairs = F.zip_with(F.slice(at, 1, n - 1), F.slice(at, 2, n - 1), lambda a, b: F.when((a < 0) | (b < 0), F.lit(-1)).otherwise(a * _N + b))
+    return F.when(n > 1, pairs).otherwise(F.array().cast("array<int>"))
 
 
 def train_string_models(samples: DataFrame, value: str = "value", random: str = "random", smoothing: float = 0.5) -> list[int]:
     """Log-likelihood ratio (random against ordinary) of each character pair, in thousandths.
 
     ``samples`` holds strings labelled as random (true) or ordinary identifiers (false). Each model is a
-    first-order Markov chain over the 67 symbols with additive smoothing; what comes back is one number for
-    each of the 67 x 67 pairs, whatever the number of samples. Null strings and labels are passed over;
+    first-order Markov chain over the 67 symbols, smoothed towards how often a symbol follows at all; what
+    comes back is one number for each of the 67 x 67 pairs, whatever the number of samples. Null strings and labels are passed over;
     without samples every ratio is 0.
     """
     pairs = samples.where(F.col(value).isNotNull() & F.col(random).isNotNull()).select(
         F.col(random).alias("r"), F.explode(_pairs(F.col(value))).alias("p")).where("p >= 0")
     counts = {(x["r"], x["p"]): x["n"] for x in pairs.groupBy("r", "p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = {(r, a): sum(counts.get((r, a * _N + b), 0) for b in range(_N)) for r in (True, False) for a in range(_N)}
+    kinds = (True, False)
+    total = {(r, a): sum(counts.get((r, a * _N + b), 0) for b in range(_N)) for r in kinds for a in range(_N)}
+    after = {(r, b): sum(counts.get((r, a * _N + b), 0) for a in range(_N)) for r in kinds for b in range(_N)}
+    every = {r: sum(total[r, a] for a in range(_N)) for r in kinds}
 
     def log(r, p):
-        return math.log((counts.get((r, p), 0) + smoothing) / (total[r, p // _N] + smoothing * _N))
+        a, b = divmod(p, _N)
+        alone = (after[r, b] + smoothing) / (every[r] + smoothing * _N)
+        return math.log((counts.get((r, p), 0) + smoothing * _N * alone) / (total[r, a] + smoothing * _N))
 
     return [round(1000 * (log(True, p) - log(False, p))) for p in range(_N * _N)]
 
