@@ -15,9 +15,11 @@ def pixel(c: Column) -> Column:
 
 
 def shape_of(w: Column, h: Column) -> Column:
-    aspect = w / h
+    """Shape by aspect; null without a usable width and height."""
+    aspect = F.when((w > 0) & (h > 0), F.try_divide(w, h))
     return (
-        F.when(aspect < fixed.ASPECT_LOW, "vertical")
+        F.when(aspect.isNull(), F.lit(None).cast("string"))
+        .when(aspect < fixed.ASPECT_LOW, "vertical")
         .when(aspect > fixed.ASPECT_HIGH, "horizontal")
         .otherwise("square")
     )

@@ -18,6 +18,6 @@ def retry_seed(seed: Column, attempt: Column) -> Column:
 
 
 def score(c: Column) -> Column:
-    """Integer score in 0..10; anything that is not a number counts as 0."""
-    n = F.coalesce(c.try_cast("int"), F.lit(0))
+    """Integer score in 0..10, cut to a whole number; anything that is not a number counts as 0."""
+    n = F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
     return F.least(F.lit(fixed.MAX_SCORE), F.greatest(F.lit(0), n))

@@ -21,7 +21,7 @@ def strip(c: Column) -> Column:
 
 def number(c: Column, kind: str) -> Column:
     """Number from a pattern match; no match (empty) gives null. Cheaper than a failing cast."""
-    return F.when(c != "", c).cast(kind)
+    return F.when(c != "", c).try_cast(kind)
 
 
 def is_blank(c: Column) -> Column:
@@ -84,7 +84,7 @@ def unit_path(c: Column) -> Column:
 def page_of_path(c: Column) -> Column:
     page = F.regexp_extract(c, r"^02_pages/page_(\d+)\.md$", 1)
     panel = F.regexp_extract(c, r"^03_panels/p(\d{3})_\d{2}\.md$", 1)
-    return F.when(page != "", page.cast("int")).when(panel != "", panel.cast("int"))
+    return F.when(page != "", page.try_cast("int")).when(panel != "", panel.try_cast("int"))
 
 
 def fill(template: Column, values: dict[str, Column]) -> Column:

@@ -153,15 +153,15 @@ def stage_benchmark(base: DataFrame, run: DataFrame, stage: str, seconds: str) -
     total = run.agg(F.sum(F.col(seconds).cast("decimal(18,2)")).cast("double").alias("_t")).scalar()
     return d.withColumn("_t", total).select(
         stage, "base_seconds", "run_seconds",
-        ((F.col("base_seconds") - F.col("run_seconds")) * 100 / F.col("base_seconds")).alias("reduction_pct"),
-        (F.col("run_seconds") * 100 / F.col("_t")).alias("share_pct"))
+        F.try_divide((F.col("base_seconds") - F.col("run_seconds")) * 100, F.col("base_seconds")).alias("reduction_pct"),
+        F.try_divide(F.col("run_seconds") * 100, F.col("_t")).alias("share_pct"))
 
 
 def render_rate(jobs: DataFrame, keys: list[str], wall: str, output: str) -> DataFrame:
     """Wall seconds, output seconds and their ratio."""
     total = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     return jobs.groupBy(*keys).agg(_rows().alias("jobs"), total(wall).alias("wall_seconds"), total(output).alias("output_seconds")).withColumn(
-        "seconds_per_second", F.col("wall_seconds") / F.col("output_seconds"))
+        "seconds_per_second", F.try_divide("wall_seconds", "output_seconds"))
 
 
 def merge_entities(chunks: DataFrame, entity: str, order: list[str], attrs: list[str]) -> DataFrame:

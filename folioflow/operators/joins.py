@@ -121,9 +121,9 @@ def is_required_text(c: Column) -> Column:
 
 
 def verbatim_missing(required: DataFrame, docs: DataFrame, keys: list[str], wanted: str, text: str) -> DataFrame:
-    """Required texts that their own document does not hold literally."""
+    """Required texts that their own document does not hold literally, or whose document is null or absent."""
     r = required.withColumn("_w", strip(F.coalesce(F.col(wanted), F.lit("")))).where(is_required_text(F.col(wanted)))
-    return r.join(docs.select(*keys, F.col(text).alias("_doc")), keys).where(~F.col("_doc").contains(F.col("_w"))).drop("_doc", "_w")
+    return r.join(docs.select(*keys, F.col(text).alias("_doc")), keys, "left").where(~F.coalesce(F.col("_doc").contains(F.col("_w")), F.lit(False))).drop("_doc", "_w")
 
 
 def attach_style(df: DataFrame, style: str, text: str, guards: dict[str, str] = fixed.STYLE_GUARDS) -> DataFrame:

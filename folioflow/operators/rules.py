@@ -144,7 +144,8 @@ def second_lines(body: Column) -> Column:
 
 
 def segment_script_errors(text: Column, duration: Column, dialogue: Column, design_title: str = "逐秒镜头设计") -> Column:
-    """Headings present, seconds gapless from 0 to the whole duration, dialogue verbatim."""
+    """Headings present, seconds gapless from 0 to the whole duration, dialogue verbatim. Nulls count as blank and as no dialogue."""
+    text, dialogue = F.coalesce(text, F.lit("")), F.coalesce(dialogue, F.array().cast("array<string>"))
 
     def second_errors(spans):
         n = F.size(spans)
@@ -166,13 +167,19 @@ def segment_script_errors(text: Column, duration: Column, dialogue: Column, desi
 
 
 def prompt_errors(prompt: Column, mode: Column, duration: Column, dialogue: Column, names: Column) -> Column:
-    """Broken rules of a video prompt. All work stays inside the row."""
+    """Broken rules of a video prompt. All work stays inside the row.
+
+    A null prompt counts as blank, a null mode is a broken rule, null lists of lines and names are empty.
+    """
+    prompt, none = F.coalesce(prompt, F.lit("")), F.array().cast("array<string>")
+    dialogue, names = F.coalesce(dialogue, none), F.coalesce(names, none)
     lines = F.split(prompt, "\n")
     line1, line2 = F.try_element_at(lines, F.lit(1)), F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
     opening = F.try_element_at(F.filter(lines, lambda s: strip(s) != ""), F.lit(1))
-    pictured = mode == "i2va"
+    pictured = F.coalesce(mode == "i2va", F.lit(False))
     n_open, n_cn, n_close = count(prompt, "<d>"), count(prompt, "<d>[Chinese]"), count(prompt, "</d>")
     before = rule_errors({
+        "mode missing": mode.isNull(),
         "first line": pictured & (F.regexp_replace(line1, r"\s+$", "") != fixed.I2VA_FIRST_LINE),
         "second line not blank": pictured & (strip(line2) != ""),
         "first line not allowed": ~pictured & prompt.contains(fixed.I2VA_FIRST_LINE),
@@ -220,9 +227,10 @@ def check_static(expected: DataFrame, docs: DataFrame, required: DataFrame, key:
     """Issue rows (key, problem): absent document, absent heading, text not verbatim."""
     absent = expected.join(docs, key, "left_anti").select(key, F.lit("document missing").alias("problem"))
     here = docs.join(expected, key, "left_semi")
-    heads = F.filter(F.array(*[F.lit(h) for h in headings]), lambda h: ~F.col(text).contains(h))
+    heads = F.filter(F.array(*[F.lit(h) for h in headings]), lambda h: ~F.coalesce(F.col(text).contains(h), F.lit(False)))
     headless = here.select(key, F.explode(heads).alias("_h")).select(key, F.concat(F.lit("missing "), "_h").alias("problem"))
-    lost = verbatim_missing(required, here, [key], wanted, text).select(key, F.concat(F.lit("not verbatim: "), strip(F.col(wanted))).alias("problem"))
+    # an absent document is one issue, not one per text as well
+    lost = verbatim_missing(required.join(here, key, "left_semi"), here, [key], wanted, text).select(key, F.concat(F.lit("not verbatim: "), strip(F.col(wanted))).alias("problem"))
     return absent.unionByName(headless).unionByName(lost)
 
 

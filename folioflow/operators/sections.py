@@ -62,26 +62,48 @@ def check_headings(docs: DataFrame, text: str, headings: list[str], summary: str
     return docs.withColumn("errors", errs)
 
 
+def known_sections(text: Column, headings: list[str]) -> tuple[Column, Column]:
+    """Text before the first known heading, and ``struct<heading,body>`` per known heading in text order.
+
+    Only the first line of each known heading, at whatever level, cuts. Other headings, a known one that
+    comes again, and the rest of a heading's own line stay in the text they stand in.
+    """
+    mark = headings[0].split(" ")[0] + " "
+    titles = "|".join(r"\Q" + h.lstrip("#").strip() + r"\E" for h in sorted(headings, key=len, reverse=True))
+    # two private letters show where a heading begins and ends
+    parts = F.split(F.regexp_replace(text, rf"(?m)^#+\s*({titles})", "\ue000$1\ue001"), "\ue000")
+    start = F.array().cast("array<struct<heading:string,body:string>>")
+
+    def step(acc, p):
+        title, rest = F.substring_index(p, "\ue001", 1), F.substring_index(p, "\ue001", -1)
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["heading"].alias("heading"), F.concat(last["body"], F.lit(mark), title, rest).alias("body"))
+        new = F.array(F.struct(title.alias("heading"), rest.alias("body")))
+        again = F.exists(acc, lambda s: s["heading"] == title)
+        return F.when(again, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, new))
+
+    cut = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step)
+    return strip(F.get(parts, F.lit(0))), F.transform(cut, lambda s: F.struct(s["heading"].alias("heading"), strip(s["body"]).alias("body")))
+
+
 def repair_headings(docs: DataFrame, text: str, headings: list[str], fallbacks: dict[str, Column], none: str = fixed.NO_TEXT) -> DataFrame:
     """Sections in canonical order under their heading; blank ones filled from columns.
 
     Headings of another level are set right; text before the first heading goes to the first
-    section if that is absent. Headings must share one mark (``## ``).
+    section if that is absent. Headings must share one mark (``## ``). See ``known_sections`` for
+    what cuts: text under other or repeated headings is kept. A null text counts as blank.
     """
-    mark = headings[0].split(" ")[0] + " "
-    titles = "|".join(r"\Q" + h.lstrip("#").strip() + r"\E" for h in headings)
-    body = F.regexp_replace(text, rf"(?m)^#+\s*({titles})", mark + "$1")
-    d = docs.withColumn("_secs", section_array(body, mark))
-    lead = F.col("_secs")[0]["body"]
+    lead, secs = known_sections(F.coalesce(F.col(text), F.lit("")), headings)
+    d = docs.withColumns({"_lead": lead, "_secs": secs})
 
     def piece(i, h):
         title = h.lstrip("#").strip()
         hit = F.try_element_at(F.filter(F.col("_secs"), lambda s: s["heading"] == title), F.lit(1))
-        content = F.coalesce(hit["body"], lead if i == 0 else F.lit(""))
+        content = F.coalesce(hit["body"], F.col("_lead") if i == 0 else F.lit(""))
         spare = F.coalesce(F.when(fallbacks[h] != "", fallbacks[h]) if h in fallbacks else F.lit(None), F.lit(none))
         return F.concat(F.lit(h + "\n"), F.when(content == "", spare).otherwise(content))
 
-    return d.withColumn(text, F.concat_ws("\n\n", *[piece(i, h) for i, h in enumerate(headings)])).drop("_secs")
+    return d.withColumn(text, F.concat_ws("\n\n", *[piece(i, h) for i, h in enumerate(headings)])).drop("_secs", "_lead")
 
 
 def ensure_headings(docs: DataFrame, text: str, headings: list[str], fallbacks: dict[str, Column]) -> DataFrame:

@@ -199,7 +199,7 @@ def rule_errors(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules.items()]), lambda e: e.isNotNull())
 
 
-def quarantine(df: DataFrame, errors: str, keep: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Clean rows, and bad rows with at most their first ``keep`` errors."""
-    bad = F.size(errors) > 0
-    return df.where(~bad).drop(errors), df.where(bad).withColumn(errors, F.slice(errors, 1, keep))
+def quarantine(df: DataFrame, errors: str) -> tuple[DataFrame, DataFrame]:
+    """Clean rows, and bad rows with all their errors and ``error_count``. A null list is bad."""
+    bad = F.coalesce(F.size(errors) > 0, F.lit(True)) | F.col(errors).isNull()
+    return df.where(~bad).drop(errors), df.where(bad).withColumn("error_count", F.coalesce(F.size(errors), F.lit(0)))

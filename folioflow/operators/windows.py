@@ -44,22 +44,24 @@ def shot_errors(text: Column, duration: Column) -> Column:
     """Broken rules on the shot numbers and time stamps of a prompt. All inside one row."""
     pattern = F.lit(r"\[Shot (\d+)\] At (\d{2}:\d{2}\.\d{3})")
     found = F.struct(
-        F.transform(F.regexp_extract_all(text, pattern, 1), lambda n: n.cast("int")).alias("nos"),
+        F.transform(F.regexp_extract_all(text, pattern, 1), lambda n: n.try_cast("int")).alias("nos"),
         F.transform(F.regexp_extract_all(text, pattern, 2), lambda t: (
             F.substring(t, 1, 2).cast("int") * 60 + F.substring(t, 4, 6).cast("double"))).alias("secs"),
-        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[Shot (\d+)\]"), 1), lambda n: n.cast("int"))).alias("bare"))
+        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[Shot (\d+)\]"), 1), lambda n: n.try_cast("int"))).alias("bare"))
 
     def rules(s):
         nos, secs, bare = s["nos"], s["secs"], s["bare"]
         k = F.coalesce(F.array_max(bare), F.lit(0))
         unsorted = F.exists(F.sequence(F.lit(1), F.greatest(F.size(secs), F.lit(1))), lambda i: (i < F.size(secs)) & (
             F.try_element_at(secs, i + 1) <= F.try_element_at(secs, i)))
-        want = F.when(k >= 2, F.sequence(F.lit(2), F.greatest(k, F.lit(2)))).otherwise(F.array().cast("array<int>"))
+        # 2..k without gap or repeat, told by number, least and largest
+        timed = F.array_distinct(nos)
+        whole = (F.size(nos) == k - 1) & (F.size(timed) == k - 1) & (F.array_min(nos) == 2) & (F.array_max(nos) == k)
         return rule_errors({
-            "shot 1 missing": ~F.array_contains(bare, 1),
-            "shot 1 has a time": F.array_contains(nos, 1),
-            "shot numbers not contiguous": (F.size(bare) > 0) & ((F.size(bare) != k) | (F.coalesce(F.array_min(bare), F.lit(1)) != 1)),
-            "timed shots incomplete": (k >= 2) & (F.array_sort(nos) != want),
+            "shot 1 missing": ~F.coalesce(F.array_contains(bare, 1), F.lit(False)),
+            "shot 1 has a time": F.coalesce(F.array_contains(nos, 1), F.lit(False)),
+            "shot numbers not contiguous": F.exists(bare, lambda n: n.isNull()) | (F.size(bare) > 0) & ((F.size(bare) != k) | (F.coalesce(F.array_min(bare), F.lit(1)) != 1)),
+            "timed shots incomplete": (k >= 2) & ~F.coalesce(whole, F.lit(False)),
             "times not increasing": unsorted,
             "time out of range": F.exists(secs, lambda t: ~((t > 0) & (t < duration))),
         })

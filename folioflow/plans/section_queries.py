@@ -54,21 +54,25 @@ _TITLES = [h[3:] for h in _H]
 
 
 def _repair_sql() -> str:
+    """Positions of the known headings in the normalised text; a section ends where the next one begins."""
     fixed_text = "text"
     for h in _H:
         fixed_text = f"regexp_replace({fixed_text}, '(?m)^#+\\s*{h[3:]}', '{h}', 'g')"
+    places = ", ".join(f"instr(text, '{h}')" for h in _H)
     parts = []
-    for i, title in enumerate(_TITLES):
-        body = f"max(body) FILTER (heading = '{title}' AND k = 1)"
-        if i == 0:
-            body = f"coalesce({body}, max(body) FILTER (ord = 0))"
-        spare = "any_value(lang)" if i == 1 else "nullif(any_value(source), 'src1')" if i == 4 else "NULL"
-        parts.append(f"'{_H[i]}' || chr(10) || coalesce(nullif({body}, ''), {spare}, '（无）')")
+    for k, h in enumerate(_H, 1):
+        begin = f"(i[{k}] + {len(h)})"
+        stop = f"coalesce(list_min(list_filter(i, lambda x: x > i[{k}])), length(text) + 1)"
+        body = f"CASE WHEN i[{k}] > 0 THEN {_STRIP.format(f'substr(text, {begin}, {stop} - {begin})')} END"
+        if k == 1:
+            lead = "substr(text, 1, coalesce(list_min(list_filter(i, lambda x: x > 0)), length(text) + 1) - 1)"
+            body = f"coalesce({body}, {_STRIP.format(lead)})"
+        spare = "lang" if k == 2 else "nullif(source, 'src1')" if k == 5 else "NULL"
+        parts.append(f"'{h}' || chr(10) || coalesce(nullif({body}, ''), {spare}, '（无）')")
     joined = " || chr(10) || chr(10) || ".join(parts)
-    second = _SECTIONS_SQL.split("sp AS", 1)[1].replace("FROM scripts)", "FROM nrm)")
-    return f"""WITH {SCRIPTS_SQL}, nrm AS (SELECT doc_id, lang, source, {fixed_text} AS text FROM scripts), sp AS{second},
-num AS (SELECT secs.*, lang, source, row_number() OVER (PARTITION BY secs.doc_id, heading ORDER BY ord) AS k FROM secs JOIN nrm USING (doc_id))
-SELECT doc_id, {joined} AS text FROM num GROUP BY doc_id"""
+    return f"""WITH {SCRIPTS_SQL}, nrm AS (SELECT doc_id, lang, source, {fixed_text} AS text FROM scripts),
+placed AS (SELECT *, [{places}] AS i FROM nrm)
+SELECT doc_id, {joined} AS text FROM placed"""
 
 
 @query("repair_headings", _repair_sql())

@@ -40,5 +40,5 @@ def png_size(df: DataFrame, content: str = "content") -> DataFrame:
     """Width and height from the fixed places of a PNG header; null for other files."""
     is_png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"  # fixed value: file signature
     def number(at):
-        return F.when(is_png, F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int"))
+        return F.when(is_png, F.conv(F.hex(F.substring(content, at, 4)), 16, 10).try_cast("int"))
     return df.withColumns({"w": number(17), "h": number(21)})
