@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ def _confirmed(words: int, percent: int):
 
 def near_duplicate_scripts(
     scripts: DataFrame, key: str = "panel", content: str = "content", words: int = 5, similarity: float = 0.8,
-    bands: int = 32, rows: int = 5, seed: int = 1, rounds: int = 4,
+    bands: int = 32, rows: int = 5, seed: int = 1,
 ) -> DataFrame:
     """Groups of panel scripts whose word shingles have a Jaccard similarity of at least ``similarity``.
 
@@ -108,7 +109,7 @@ def near_duplicate_scripts(
     * The members of a bucket are paired with one pivot, so pairs grow with the number of members only.
       Each pair is confirmed on the full shingle sets. In later rounds one member of each component that
       still meets others in a bucket is drawn, and the pivot among these; a pair is tried once. Rounds end
-      when one links nothing more (at most ``rounds``).
+      when one links nothing more, however many that takes.
 
     A null or blank text has no shingles and links with nothing; a text shorter than ``words`` is one
     shingle. Rows of one key are one script for linking and stay as many rows. A null key links with
@@ -130,7 +131,7 @@ def near_duplicate_scripts(
     texts = cut_lineage(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     labels = members.select("id").distinct().withColumn("c", F.col("id"))
-    for turn in range(rounds):
+    for turn in count():
         # one member of each component that meets in a bucket, and one of these as its pivot
         order = F.struct(F.lit(0), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "band", "id"), "id")
         at = members.withColumn("c", F.col("id")) if turn == 0 else members.join(labels, "id").groupBy("band", "bucket", "c").agg(F.min_by("id", order).alias("id"))
