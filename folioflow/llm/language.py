@@ -13,6 +13,7 @@ from .ppm import ByteTree, count_contexts
 from .shared import as_bytes
 
 UNKNOWN = "und"
+_STEP = 1000  # rows of a batch worked on at a time
 
 
 def train_languages(
@@ -43,7 +44,7 @@ def script_language(scripts: DataFrame, models: dict[str, ByteTree], key: str =
     trees = scripts.sparkSession.sparkContext.broadcast([models[n] for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, _STEP) for b in batches for at in range(0, b.num_rows, _STEP)):
             texts, spoken = as_bytes(b.column(1)), np.array(b.column(2).to_pylist(), bool)
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if names and len(texts):
@@ -52,12 +53,15 @@ def script_language(scripts: DataFrame, models: dict[str, ByteTree], key: str =
                 share = 1 / np.exp2(np.maximum(bits.min(0) - bits, -1000)).sum(0)
                 lang = np.where(spoken, np.array(names, object)[best], UNKNOWN)
                 score = np.where(spoken, share, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), *b.columns[3:]], names=["id", "lang_pred", "score", *b.schema.names[3:]])
+            said = [b.column(1)] if content in wanted else []
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(lang, pa.string()), pa.array(score), *said, *b.columns[3:]], names=["id", "lang_pred", "score", *["t"] * len(said), *b.schema.names[3:]])
 
     t = F.col(content)
-    more = [c for c in carry or [] if c not in (key, "lang_pred", "score")]
+    wanted = [c for c in carry or [] if c not in (key, "lang_pred", "score")]
+    more = [c for c in wanted if c != content]  # the text itself goes to Python once
     rows = scripts.select(
         F.col(key).alias("id"), t.alias("t"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("spoken"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(more)])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = ", ".join(["id " + kinds["id"], "lang_pred string", "score double", *[f"_{i} {kinds[f'_{i}']}" for i in range(len(more))]])
-    return rows.mapInArrow(run, out).select(F.col("id").alias(key), *[F.col(f"_{i}").alias(c) for i, c in enumerate(more)], "lang_pred", "score")
+    out = ", ".join(["id " + kinds["id"], "lang_pred string", "score double", *["t string"] * (content in wanted), *[f"_{i} {kinds[f'_{i}']}" for i in range(len(more))]])
+    return rows.mapInArrow(run, out).select(F.col("id").alias(key), *[F.col("t" if c == content else f"_{more.index(c)}").alias(c) for c in wanted], "lang_pred", "score")

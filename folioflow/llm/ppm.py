@@ -19,7 +19,7 @@ from .shared import as_bytes
 START, END = 0xFF, 0xFE  # no byte of UTF-8
 ORDER = 3
 _SYMBOLS = 255  # what can be coded: all bytes but START
-_PIECE = 1 << 21  # bytes worked on at a time
+_PIECE = 1 << 19  # bytes worked on at a time
 _HEAD = bytes([START]) * ORDER
 
 
