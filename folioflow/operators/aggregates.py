@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.seeds import score
@@ -52,26 +52,31 @@ def accepted(passed: str, points: str) -> Column:
 
 
 def final_attempt(attempts: DataFrame, unit: list[str], attempt: str, passed: str, points: str, infra: str | None = None) -> DataFrame:
-    """Outcome per unit: first accepted attempt, else the last one; the best-scored one beside it.
+    """Outcome per unit, from its attempts in order up to the one that closes it; what comes later does not count.
 
-    Three rejected attempts need review; an infrastructure error fails the unit.
+    An accepted attempt completes the unit, an infrastructure error fails it, and three rejected attempts need
+    review. ``final_attempt`` is the last attempt that counts and ``best_attempt`` the best-scored of these;
+    errors are no attempts. Of attempts with one number a failed, low-scored one comes first.
     """
     a, s = F.col(attempt), score(F.col(points))
-    fail = F.max(F.coalesce(F.col(infra), F.lit(False))) if infra else F.lit(False)
-    real = ~F.coalesce(F.col(infra), F.lit(False)) if infra else F.lit(True)
-    ok = real & accepted(passed, points)
-    d = attempts.groupBy(*unit).agg(
-        F.min(F.when(ok, a)).alias("_first"), F.max(F.when(real, a)).alias("_last"), F.count_if(real).alias("n_attempts"),
-        F.max_by(a, F.when(real, F.struct(s.alias("s"), (-a).alias("n")))).alias("best_attempt"),
-        F.max(F.when(real, F.struct(a.alias("a"), s.alias("s"))))["s"].alias("_last_score"),
-        F.min(F.when(ok, F.struct(a.alias("a"), s.alias("s"))))["s"].alias("_first_score"),
-        fail.alias("_fail"))
+    broke = F.coalesce(F.col(infra), F.lit(False)) if infra else F.lit(False)
+    d = attempts.select(*unit, a.alias("_a"), s.alias("_s"), broke.alias("_broke"), accepted(passed, points).alias("_ok"), F.coalesce(F.col(passed), F.lit(False)).alias("_p"))
+    # a unit is closed after three rows at most, so only these leave the map side
+    w = Window.partitionBy(*unit).orderBy("_a", "_p", "_s", "_broke")
+    d = d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= fixed.MAX_ATTEMPTS)
+    row = F.struct("_n", "_a", "_s", "_broke", "_ok")
+    d = d.groupBy(*unit).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    closing = F.array_min(F.transform(F.filter("_rows", lambda r: r["_broke"] | r["_ok"]), lambda r: r["_n"]))
+    d = d.withColumn("_rows", F.slice("_rows", 1, F.coalesce(closing, F.lit(fixed.MAX_ATTEMPTS))))
+    end, real = F.element_at("_rows", -1), F.filter("_rows", lambda r: ~r["_broke"])
+    last, n = F.try_element_at(real, F.lit(-1)), F.size(real).cast("bigint")
+    best = F.array_max(F.transform(real, lambda r: F.struct(r["_s"].alias("s"), (-r["_a"]).alias("n"))))
     status = (
-        F.when(F.col("_first").isNotNull(), "completed").when(F.col("_fail"), "failed")
-        .when(F.col("n_attempts") >= fixed.MAX_ATTEMPTS, "needs_review").otherwise("pending"))
+        F.when(end["_broke"], "failed").when(end["_ok"], "completed")
+        .when(n >= fixed.MAX_ATTEMPTS, "needs_review").otherwise("pending"))
     return d.select(
-        *unit, "n_attempts", F.coalesce("_first", "_last").alias("final_attempt"), "best_attempt",
-        F.coalesce("_first_score", "_last_score").alias("final_score"), status.alias("status"))
+        *unit, n.alias("n_attempts"), last["_a"].alias("final_attempt"), (-best["n"]).alias("best_attempt"),
+        last["_s"].alias("final_score"), status.alias("status"))
 
 
 def attempt_qc(outcomes: DataFrame) -> DataFrame:

@@ -60,12 +60,13 @@ def attempts_of_events(t):
 ATTEMPTS_SQL = """att AS (SELECT event_id // 3 AS unit, CAST(event_id % 3 AS INT) AS attempt, event_type <> 'error' AS passed,
   CASE WHEN event_type = 'view' THEN 0 ELSE least(10, greatest(0, CAST(trunc(value) AS INT))) END AS score,
   event_type = 'signup' AND value > 80 AS infra FROM events WHERE event_id % 7 <> 6),
-fin AS (SELECT unit, count(*) FILTER (NOT infra) AS n_attempts,
-  min(attempt) FILTER (NOT infra AND passed AND score >= 7) AS f, max(attempt) FILTER (NOT infra) AS l,
-  arg_max(attempt, (score, -attempt)) FILTER (NOT infra) AS best_attempt, bool_or(infra) AS inf,
-  arg_min(score, attempt) FILTER (NOT infra AND passed AND score >= 7) AS fs, arg_max(score, attempt) FILTER (NOT infra) AS ls FROM att GROUP BY 1),
-outc AS (SELECT unit, n_attempts, coalesce(f, l) AS final_attempt, best_attempt, coalesce(fs, ls) AS final_score,
-  CASE WHEN f IS NOT NULL THEN 'completed' WHEN inf THEN 'failed' WHEN n_attempts >= 3 THEN 'needs_review' ELSE 'pending' END AS status FROM fin)"""
+shut AS (SELECT unit, min(attempt) AS closing FROM att WHERE infra OR (passed AND score >= 7) GROUP BY 1),
+counted AS (SELECT att.*, closing FROM att LEFT JOIN shut USING (unit) WHERE closing IS NULL OR attempt <= closing),
+fin AS (SELECT unit, count(*) FILTER (NOT infra) AS n_attempts, max(attempt) FILTER (NOT infra) AS final_attempt,
+  arg_max(attempt, (score, -attempt)) FILTER (NOT infra) AS best_attempt, arg_max(score, attempt) FILTER (NOT infra) AS final_score,
+  bool_or(infra) AS broken, max(closing) AS closing FROM counted GROUP BY 1),
+outc AS (SELECT unit, n_attempts, final_attempt, best_attempt, final_score,
+  CASE WHEN broken THEN 'failed' WHEN closing IS NOT NULL THEN 'completed' WHEN n_attempts >= 3 THEN 'needs_review' ELSE 'pending' END AS status FROM fin)"""
 
 
 @query("final_attempt", f"WITH {ATTEMPTS_SQL} SELECT * FROM outc")

@@ -120,10 +120,13 @@ def test_final_units_stream_hands_on_once(spark, tmp_path):
 
 
 def test_retry_machine_equals_batch(spark, tmp_path):
-    rows = [("a", 0, False, 9, False), ("a", 1, True, 8, False), ("b", 0, True, 3, False), ("b", 1, True, 3, False), ("b", 2, True, 3, False), ("c", 0, True, 9, True)]
+    rows = [("a", 0, False, 9, False), ("a", 1, True, 8, False), ("b", 0, True, 3, False), ("b", 1, True, 3, False), ("b", 2, True, 3, False), ("c", 0, True, 9, True),
+            ("d", 0, False, 0, True), ("d", 1, True, 9, False), ("e", 0, False, 1, False), ("e", 1, False, 1, False), ("e", 2, False, 1, False), ("e", 3, False, 0, True),
+            ("f", 0, False, 1, False), ("f", 1, False, 0, True), ("f", 2, True, 9, False), ("g", 0, True, 9, False), ("g", 1, False, 0, True)]
     schema = "unit string, attempt int, passed boolean, points int, infra boolean"
     folder, stream = _stream(spark, tmp_path, rows, schema, "verdicts")
     out = st.run_to_table(st.retry_machine(stream(), "unit", "attempt", "passed", "points", "infra"), "t")
     last = {r["unit"]: r["a"] for r in out.where("action <> 'retry'").groupBy("unit").agg(F.max("action").alias("a")).collect()}
     batch = ag.final_attempt(spark.createDataFrame(rows, schema).withColumn("points", F.col("points").cast("string")), ["unit"], "attempt", "passed", "points", "infra")
-    assert last == {r["unit"]: r["status"] for r in batch.collect()} == {"a": "completed", "b": "needs_review", "c": "failed"}
+    assert last == {r["unit"]: r["status"] for r in batch.collect()} == {
+        "a": "completed", "b": "needs_review", "c": "failed", "d": "failed", "e": "needs_review", "f": "failed", "g": "completed"}
