@@ -278,3 +278,12 @@ def test_mixture(spark):
     big = mixture.mix_prompts(df.where("panel < 3"), total=3000.0).groupBy("panel").count().collect()
     assert len(big) == 3 and all(abs(r["count"] - 1000) < 800 for r in big)
     assert mixture.mix_prompts(df.limit(0)).count() == 0
+
+
+def test_lines_carry_columns(spark):
+    line = "one line of more than twenty characters"
+    rows = [(1, line, "a", 7), (2, line + "\nnext", None, 8), (None, None, "c", 9)]
+    df = spark.createDataFrame(rows, "panel int, content string, lang string, n_lines int")
+    got = lines.drop_repeated_lines(df, carry=["content", "lang", "n_lines"])
+    assert got.columns == ["panel", "content", "n_lines", "n_dropped", "lang"]
+    assert {r["panel"]: tuple(r)[1:] for r in got.collect()} == {1: (line, 1, 0, "a"), 2: ("next", 2, 1, None), None: (None, 0, 0, "c")}
