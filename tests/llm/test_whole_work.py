@@ -39,3 +39,15 @@ def test_lines_with_a_changed_word_meet(spark):
         line = "".join(words(rng, 12))
         pairs.append((line, edited(rng, line, 0.01)))
     assert linked(spark, pairs) >= 198  # of 200
+
+
+def test_all_lines_of_a_bucket_are_compared(spark):
+    rng = random.Random(12)
+    head = " ".join(words(rng, 14))
+    texts = []
+    for _ in range(12):  # a template with many variants, each there twice with a letter changed
+        tail = " ".join(words(rng, 12))
+        texts += [f"{head} {tail}", f"{head} {edited(rng, tail, 0.05)}"]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "panel long, content string")
+    assert sum(r["n_dropped"] for r in lines.drop_repeated_lines(df).collect()) == 12
