@@ -108,8 +108,9 @@ def near_duplicate_scripts(
       shares a bucket with a probability of 1 - (1 - 0.8^5)^32 = 0.999997.
     * The members of a bucket are paired with one pivot, so pairs grow with the number of members only.
       Each pair is confirmed on the full shingle sets. In later rounds one member of each component that
-      still meets others in a bucket is drawn, and the pivot among these; a pair is tried once. Rounds end
-      when one links nothing more, however many that takes.
+      still meets others in a bucket is drawn, and the pivot among these; a pair is tried once. When a round
+      links nothing more, all pairs of a bucket that are still apart and whose set sizes allow the similarity are
+      confirmed, so that no pair that shares a bucket stays untried.
 
     A null or blank text has no shingles and links with nothing; a text shorter than ``words`` is one
     shingle. Rows of one key are one script for linking and stay as many rows. A null key links with
@@ -121,7 +122,7 @@ def near_duplicate_scripts(
     signed = cut_lineage(docs.mapInArrow(
         _signed(words, bands, rows, seed), f"id {kind}, n_shingles long, digest binary, bands array<long>"), "signed")
     known = signed.where("digest is not null and id is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = cut_lineage(classes, "classes")
 
     spread = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "bucket"))
@@ -131,6 +132,17 @@ def near_duplicate_scripts(
     texts = cut_lineage(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     labels = members.select("id").distinct().withColumn("c", F.col("id"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        return cut_lineage(both.mapInArrow(_confirmed(words, percent), f"a {kind}, b {kind}"), "confirmed")
+
+    def relabelled(found: DataFrame) -> DataFrame:
+        joined = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        groups = components(joined)
+        return cut_lineage(labels.join(groups, F.col("c") == F.col("node"), "left").select("id", F.coalesce("component", "c").alias("c")), "groups")
+
     for turn in count():
         # one member of each component that meets in a bucket, and one of these as its pivot
         order = F.struct(F.lit(0), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "band", "id"), "id")
@@ -141,14 +153,22 @@ def near_duplicate_scripts(
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
         tested = pairs if turn == 0 else tested.unionByName(pairs)
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-        both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-        found = cut_lineage(both.mapInArrow(_confirmed(words, percent), f"a {kind}, b {kind}"), "confirmed")
+        found = confirmed(pairs)
         if found.isEmpty():
             break
-        joined = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        groups = components(joined)
-        labels = cut_lineage(labels.join(groups, F.col("c") == F.col("node"), "left").select("id", F.coalesce("component", "c").alias("c")), "groups")
+        labels = relabelled(found)
+
+    # what no pivot showed: all pairs of a bucket that lie in different components
+    sized = members.join(labels, "id").join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    mixed = sized.groupBy("band", "bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "bucket")
+    sized = cut_lineage(sized.join(mixed, ["band", "bucket"]), "apart")
+    other = sized.select("band", "bucket", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"))
+    fits = 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
+    rest = sized.join(other, ["band", "bucket"]).where((F.col("id") < F.col("o")) & (F.col("c") != F.col("oc")) & fits)
+    rest = rest.select(F.col("id").alias("a"), F.col("o").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    found = confirmed(cut_lineage(rest, "pairs"))
+    if not found.isEmpty():
+        labels = relabelled(found)
 
     rep = signed.join(classes.select("digest", "rep"), "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     named = labels.select(F.col("id").alias("node"), F.col("c").alias("component"))

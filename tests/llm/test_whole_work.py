@@ -2,7 +2,7 @@
 
 import random
 
-from folioflow.llm import lines
+from folioflow.llm import lines, minhash
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,3 +51,12 @@ def test_all_lines_of_a_bucket_are_compared(spark):
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "panel long, content string")
     assert sum(r["n_dropped"] for r in lines.drop_repeated_lines(df).collect()) == 12
+
+
+def test_pairs_in_a_family_of_unlike_scripts_are_found(spark):
+    rng = random.Random(13)
+    shared = words(rng, 200)
+    texts = [" ".join(shared + words(rng, 60)) for _ in range(60)] + [" ".join(shared + words(rng, 18)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "panel long, content string")
+    got = {r["panel"]: r["component_id"] for r in minhash.near_duplicate_scripts(df).collect()}
+    assert got == {**{i: i for i in range(61)}, 61: 60}
