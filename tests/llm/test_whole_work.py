@@ -2,7 +2,9 @@
 
 import random
 
-from folioflow.llm import lines, minhash
+import numpy as np
+
+from folioflow.llm import descent, lines, minhash
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,3 +62,16 @@ def test_pairs_in_a_family_of_unlike_scripts_are_found(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "panel long, content string")
     got = {r["panel"]: r["component_id"] for r in minhash.near_duplicate_scripts(df).collect()}
     assert got == {**{i: i for i in range(61)}, 61: 60}
+
+
+def test_tight_groups_that_fill_their_lists_still_join(spark):
+    rng = np.random.default_rng(14)
+    a, other = np.eye(32)[0], np.eye(32)[1]
+    b = 0.95 * a + (1 - 0.95 ** 2) ** 0.5 * other
+    m = np.concatenate([c + 0.01 * rng.standard_normal((30, 32)) for c in (a, b)])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    assert near[:30, 30:].all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "panel long, embedding array<double>")
+    got = {r["panel"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicate_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, 0) for i in range(60)}
