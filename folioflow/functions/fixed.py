@@ -85,6 +85,7 @@ RECORD_ALIASES = {
 }
 
 # fixed values: stage order, stage dependencies and status letters
+FINAL_STATES = ["completed", "needs_review"]
 STAGES = ["s0", "s1", "s2", "s3", "s4", "s4b", "s5", "s6", "s7", "s8"]
 STAGE_DEPS = [
     ("s1", "s0"), ("s2", "s1"), ("s3", "s2"), ("s4", "s3"), ("s4b", "s3"),

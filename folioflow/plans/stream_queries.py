@@ -4,15 +4,12 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as en
 from ..session import scratch_folder
-from ..streaming import streams as st
+from ..streaming import keyed, streams as st
 from .aggregate_queries import ATTEMPTS_SQL
 from .registry import query
 from .section_queries import _SECTIONS_SQL
 from .views import scripts
 
-_CLOSED = "2024-01-29"  # windows that end before this day are closed at every scale
-
-
 @query("enrich", """
 SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE upper(lang) || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END END AS label,
   CAST(CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN 2 ELSE 1 END AS INT) AS attempts, doc_id % 7 <> 0 AS good FROM documents""")
@@ -66,39 +63,66 @@ def stream_units(t):
     return st.run_to_table(_event_stream(t).select("event_id", "event_type", "value"), "units")
 
 
-@query("stream_final_units", "SELECT DISTINCT event_id % 2000 AS unit FROM events WHERE event_type IN ('purchase', 'signup')")
+@query("stream_final_units", """
+WITH e AS (SELECT event_id % 50 AS run, CASE WHEN event_type = 'error' AND value > 97 THEN NULL ELSE event_id // 50 % 40 END AS unit, event_type FROM events),
+u AS (SELECT run, unit, unit % 3 AS lines, bool_or(event_type IN ('purchase', 'signup')) AS final FROM e WHERE unit IS NOT NULL GROUP BY run, unit),
+d AS (SELECT DISTINCT run FROM e WHERE unit IS NULL)
+SELECT run, unit, lines, CASE WHEN lines = 0 THEN 'complete' ELSE 'process' END AS action, NOT final AS swept FROM u WHERE final OR run IN (SELECT run FROM d)""")
 def stream_final_units(t):
     kind = F.col("event_type")
-    status = F.when(kind == "purchase", "completed").when(kind == "signup", "needs_review").otherwise("pending")
-    led = _event_stream(t).select((F.col("event_id") % 2000).alias("unit"), status.alias("status"))
+    whole = (kind == "error") & (F.col("value") > 97)
+    status = F.when(kind == "purchase", "completed").when(kind == "signup", "needs_review").when(whole, "failed").otherwise("pending")
+    unit = F.when(~whole, F.floor(F.col("event_id") / 50) % 40)
+    led = _event_stream(t).select((F.col("event_id") % 50).alias("run"), unit.alias("unit"), status.alias("status"), (unit % 3).alias("lines"), "ts")
     folder = scratch_folder(t.spark, "final")
-    st.stream_final_units(led, ["unit"], "status", f"{folder}/out", f"{folder}/state").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").select("unit")
+    st.stream_final_units(led, "run", "unit", "status", "lines", "ts", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("run", "unit", "lines", "action", "swept")
 
 
-_PAIR_SQL = """WITH s AS (SELECT event_id AS seg_id, user_id AS k, ts AS seg_ts FROM events WHERE event_type = 'signup'),
-f AS (SELECT user_id AS k, ts AS frame_ts FROM events WHERE event_type = 'view')
-SELECT seg_id, s.k, seg_ts, frame_ts, CASE WHEN frame_ts IS NULL THEN '{no}' ELSE '{yes}' END AS {col}
-FROM s LEFT JOIN f ON f.k = s.k AND frame_ts >= seg_ts AND frame_ts <= seg_ts + INTERVAL {wait} MINUTE WHERE seg_ts < TIMESTAMP '2024-01-29'"""
+# a key is a user on one day; the earliest input of the key counts, also one from before the segment
+_PAIR_SQL = """WITH e AS (SELECT *, user_id * 100 + day(ts) AS k FROM events), s AS (SELECT event_id AS seg_id, k, ts AS seg_ts FROM e WHERE event_type = 'signup'),
+f AS (SELECT k, min(ts) AS frame_ts FROM e WHERE event_type = 'view' GROUP BY k), p AS (SELECT k, min(ts) AS prompt_ts FROM e WHERE event_type = 'click' GROUP BY k)
+"""
 
 
 def _pair(t):
-    e = _event_stream(t)
-    segs = e.where("event_type = 'signup'").select(F.col("event_id").alias("seg_id"), F.col("user_id").alias("k"), F.col("ts").alias("seg_ts"))
-    frames = _event_stream(t).where("event_type = 'view'").select(F.col("user_id").alias("k"), F.col("ts").alias("frame_ts"))
-    return segs, frames
+    k = (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("k")
+    kind = lambda name, *cols: _event_stream(t).where(F.col("event_type") == name).select(k, *cols)
+    segs = kind("signup", F.col("event_id").alias("seg_id"), F.col("ts").alias("seg_ts"))
+    return segs, kind("click", F.col("ts").alias("prompt_ts")), kind("view", F.col("ts").alias("frame_ts"))
 
 
-@query("stream_match_frames", _PAIR_SQL.format(no="t2va", yes="i2va", col="mode", wait=30))
+@query("stream_match_frames", _PAIR_SQL + """SELECT seg_id, s.k, seg_ts, frame_ts, CASE WHEN frame_ts IS NULL THEN 't2va' ELSE 'i2va' END AS mode
+FROM s LEFT JOIN f ON f.k = s.k AND frame_ts <= seg_ts + INTERVAL 30 MINUTE""")
 def stream_match_frames(t):
-    d = st.run_to_table(st.match_frames(*_pair(t), "k", "seg_ts", "frame_ts"), "frames")
-    return _plain(d.where(F.col("seg_ts") < F.lit(_CLOSED).cast("timestamp")), "seg_ts", "frame_ts")
+    segs, _, frames = _pair(t)
+    return _plain(st.run_to_table(st.match_frames(segs, frames, "k", "seg_id", "seg_ts", "frame_ts", ended=(t.events, "ts")), "frames"), "seg_ts", "frame_ts")
 
 
-@query("stream_match_prompts", _PAIR_SQL.format(no="failed", yes="ready", col="status", wait=60))
+@query("stream_match_prompts", _PAIR_SQL + """SELECT seg_id, s.k, seg_ts, prompt_ts, CASE WHEN prompt_ts IS NULL THEN 'failed' ELSE 'ready' END AS status
+FROM s LEFT JOIN p ON p.k = s.k AND prompt_ts <= seg_ts + INTERVAL 60 MINUTE""")
 def stream_match_prompts(t):
-    d = st.run_to_table(st.match_prompts(*_pair(t), "k", "seg_ts", "frame_ts"), "prompts")
-    return _plain(d.where(F.col("seg_ts") < F.lit(_CLOSED).cast("timestamp")), "seg_ts", "frame_ts")
+    segs, prompts, _ = _pair(t)
+    return _plain(st.run_to_table(st.match_prompts(segs, prompts, "k", "seg_id", "seg_ts", "prompt_ts", ended=(t.events, "ts")), "prompts"), "seg_ts", "prompt_ts")
+
+
+@query("stream_match_inputs", _PAIR_SQL + """SELECT seg_id, m.k, seg_ts, prompt_ts, frame_ts, CASE WHEN prompt_ts IS NULL THEN 'failed' ELSE 'ready' END AS status,
+  CASE WHEN prompt_ts IS NULL THEN NULL WHEN frame_ts IS NULL THEN 't2va' ELSE 'i2va' END AS mode
+FROM (SELECT s.*, prompt_ts FROM s LEFT JOIN p ON p.k = s.k AND prompt_ts <= seg_ts + INTERVAL 60 MINUTE) m
+LEFT JOIN f ON f.k = m.k AND frame_ts <= greatest(seg_ts, prompt_ts) + INTERVAL 30 MINUTE AND prompt_ts IS NOT NULL""")
+def stream_match_inputs(t):
+    d = st.match_inputs(*_pair(t), "k", "seg_id", "seg_ts", "prompt_ts", "frame_ts", ended=(t.events, "ts"))
+    return _plain(st.run_to_table(d, "inputs"), "seg_ts", "prompt_ts", "frame_ts")
+
+
+@query("stream_latest_writes", """
+SELECT user_id % 100 AS run, event_type AS stage, event_id % 7 AS item, max_by(value, struct_pack(v := value, i := event_id)) AS value, max(struct_pack(v := value, i := event_id)).i AS event_id,
+  max_by(props, struct_pack(v := value, i := event_id)) AS data FROM events GROUP BY ALL""")
+def stream_latest_writes(t):
+    # the order of writes is not that of arrival
+    d = _event_stream(t).select((F.col("user_id") % 100).alias("run"), F.col("event_type").alias("stage"), (F.col("event_id") % 7).alias("item"), "value", "event_id", F.col("props").alias("data"))
+    keys = ["run", "stage", "item"]
+    return keyed.current_writes(st.run_to_table(keyed.latest_writes(d, keys, ["value", "event_id"], ["data"]), "latest"), keys)
 
 
 @query("stream_retry_machine", f"""WITH {ATTEMPTS_SQL},
@@ -115,22 +139,35 @@ def stream_retry_machine(t):
     return st.run_to_table(st.retry_machine(d, "unit", "attempt", "passed", "points", "infra"), "retry")
 
 
-@query("stream_telemetry", """
-SELECT start, start + INTERVAL 10 SECOND AS "end", busy, total, CAST(least(busy, 4) * 100.0 / 4 AS DOUBLE) AS utilisation_pct FROM (
-  SELECT time_bucket(INTERVAL 10 SECOND, ts) AS start, count(*) FILTER (event_type IN ('click', 'view')) AS busy, count(*) AS total FROM events GROUP BY 1) WHERE start < TIMESTAMP '2024-01-29'""")
+_TELEMETRY_SQL = """SELECT start, start + INTERVAL 10 SECOND AS "end", busy, total, CAST(least(busy, 4) * 100.0 / 4 AS DOUBLE) AS utilisation_pct FROM (
+  SELECT {start} AS start, count(*) FILTER (event_type IN ('click', 'view')) AS busy, count(*) AS total FROM {rows} GROUP BY 1)"""
+
+
+def _telemetry(t, slide=None):
+    stream = keyed.with_closing(_event_stream(t), "ts", t.events, "1 hour")
+    d = st.telemetry_windows(stream, "ts", F.col("event_type").isin("click", "view"), 4, slide=slide)
+    return _plain(st.run_to_table(d, "telemetry"), "start", "end")
+
+
+@query("stream_telemetry", _TELEMETRY_SQL.format(start="time_bucket(INTERVAL 10 SECOND, ts)", rows="events"))
 def stream_telemetry(t):
-    d = st.telemetry_windows(_event_stream(t), "ts", F.col("event_type").isin("click", "view"), 4)
-    return _plain(st.run_to_table(d, "telemetry").where(F.col("start") < F.lit(_CLOSED).cast("timestamp")), "start", "end")
+    return _telemetry(t)
+
+
+@query("stream_telemetry_sliding", _TELEMETRY_SQL.format(
+    start="s", rows="(SELECT *, unnest([time_bucket(INTERVAL 5 SECOND, ts), time_bucket(INTERVAL 5 SECOND, ts) - INTERVAL 5 SECOND]) AS s FROM events)"))
+def stream_telemetry_sliding(t):
+    return _telemetry(t, "5 seconds")
 
 
 @query("stream_sessions", """
 WITH s AS (SELECT event_type, ts, value FROM events WHERE value >= 40),
 g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY event_type ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM s),
 k AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY ts) AS sid FROM g)
-SELECT * FROM (SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS calls, max(value) AS slowest FROM k GROUP BY event_type, sid) WHERE "end" < TIMESTAMP '2024-01-29'""")
+SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS calls, max(value) AS slowest FROM k GROUP BY event_type, sid""")
 def stream_sessions(t):
-    d = st.slow_sessions(_event_stream(t).select("event_type", "ts", "value"), "ts", ["event_type"], "value", 40.0)
-    return _plain(st.run_to_table(d, "sessions").where(F.col("end") < F.lit(_CLOSED).cast("timestamp")), "start", "end")
+    stream = keyed.with_closing(_event_stream(t).select("event_type", "ts", "value"), "ts", t.events, "2 hours")
+    return _plain(st.run_to_table(st.slow_sessions(stream, "ts", ["event_type"], "value", 40.0), "sessions"), "start", "end")
 
 
 @query("stream_dedupe_updates", "SELECT DISTINCT event_id // 2 AS unit FROM events")

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..session import scratch_folder
+from . import keyed
 
 
 def stream_units(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -19,52 +20,64 @@ def stream_units(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return reader.load(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there, into parquet below the shared folder, and read it back."""
-    folder = scratch_folder(stream.sparkSession, name)
-    q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
-         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Process what is there, into parquet below the shared folder (or in ``folder``, to go on from an earlier run), and read it back."""
+    folder = folder or scratch_folder(stream.sparkSession, name)
+    with keyed.state_store(stream.sparkSession):
+        q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def stream_final_units(
-    ledger: DataFrame, keys: list[str], status: str, sink: str, state: str, handle: Callable[[DataFrame], DataFrame] = lambda d: d
+    ledger: DataFrame, run: str, unit: str, status: str, lines: str, ts: str, sink: str, state: str, handle: Callable[[DataFrame], DataFrame] = lambda d: d
 ):
-    """Hand each unit on once, when it reaches a final state. Returns the started query.
+    """Hand each unit on once, when it reaches a final state or its run ends (``keyed.hand_over``). Returns the started query.
 
-    Each batch writes its own partition of the sink, so a repeated batch replaces itself, and
-    leaves out the units of other batches.
+    Which units were handed on lies in the keyed state, the sink is never read. Each batch writes its own
+    partition of the sink, so a repeated batch replaces itself.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        units = df.where(F.col(status).isin("completed", "needs_review")).select(*keys).distinct()
-        try:
-            seen = spark.read.parquet(sink).where(F.col("batch") != batch_id).select(*keys)
-            units = units.join(seen, keys, "left_anti")
-        except Exception as e:  # the sink has no file before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        out = handle(units).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        out = handle(df).withColumn("batch", F.lit(batch_id).cast("bigint"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
 
-    return ledger.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+    units = keyed.hand_over(ledger, run, unit, status, lines, ts)
+    with keyed.state_store(ledger.sparkSession):
+        return units.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def match_inputs(
+    segments: DataFrame, prompts: DataFrame, frames: DataFrame, key: str, seg_id: str, seg_ts: str, prompt_ts: str, frame_ts: str,
+    prompt_wait: int = 60, frame_wait: int = 30, delay: str = "10 minutes", ended: tuple[DataFrame, str] | None = None,
+) -> DataFrame:
+    """Segment with its prompt, and from then on its first frame: failed without a prompt, text only without a frame.
+
+    Prompts and frames may have come before the segment; see ``keyed.wait_for``.
+    """
+    waits = [keyed.Wait("prompt_ts", prompts, prompt_ts, prompt_wait, True), keyed.Wait("frame_ts", frames, frame_ts, frame_wait)]
+    d = keyed.wait_for(segments, waits, key, seg_id, seg_ts, delay, ended)
+    status = F.when(F.col("prompt_ts").isNull(), "failed").otherwise("ready")
+    mode = F.when(status == "failed", None).when(F.col("frame_ts").isNull(), "t2va").otherwise("i2va")
+    return d.withColumns({"status": status, "mode": mode})
 
 
 def match_frames(
-    segments: DataFrame, frames: DataFrame, key: str, seg_ts: str, frame_ts: str, wait: str = "30 minutes", delay: str = "10 minutes"
+    segments: DataFrame, frames: DataFrame, key: str, seg_id: str, seg_ts: str, frame_ts: str, wait: int = 30, delay: str = "10 minutes",
+    ended: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
-    """Segment with its first frame if that comes within the wait, else downgraded to text only."""
-    s = segments.withWatermark(seg_ts, delay)
-    f = frames.withColumnRenamed(key, "_key").withWatermark(frame_ts, delay)
-    on = (F.col(key) == F.col("_key")) & (F.col(frame_ts) >= F.col(seg_ts)) & (F.col(frame_ts) <= F.col(seg_ts) + F.expr(f"INTERVAL {wait}"))
-    return s.join(f, on, "leftOuter").withColumn("mode", F.when(F.col("_key").isNull(), "t2va").otherwise("i2va")).drop("_key")
+    """Segment with its first frame if that was there or comes within the wait, else downgraded to text only."""
+    d = keyed.wait_for(segments, [keyed.Wait("frame_ts", frames, frame_ts, wait)], key, seg_id, seg_ts, delay, ended)
+    return d.withColumn("mode", F.when(F.col("frame_ts").isNull(), "t2va").otherwise("i2va"))
 
 
-def match_prompts(segments: DataFrame, prompts: DataFrame, key: str, seg_ts: str, prompt_ts: str, wait: str = "60 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Segment with its prompt if that comes within the wait, else failed."""
-    d = match_frames(segments, prompts, key, seg_ts, prompt_ts, wait, delay)
-    return d.withColumn("status", F.when(F.col("mode") == "i2va", "ready").otherwise("failed")).drop("mode")
+def match_prompts(
+    segments: DataFrame, prompts: DataFrame, key: str, seg_id: str, seg_ts: str, prompt_ts: str, wait: int = 60, delay: str = "10 minutes",
+    ended: tuple[DataFrame, str] | None = None,
+) -> DataFrame:
+    """Segment with its prompt if that was there or comes within the wait, else failed."""
+    d = keyed.wait_for(segments, [keyed.Wait("prompt_ts", prompts, prompt_ts, wait, True)], key, seg_id, seg_ts, delay, ended)
+    return d.withColumn("status", F.when(F.col("prompt_ts").isNull(), "failed").otherwise("ready"))
 
 
 def retry_machine(verdicts: DataFrame, unit: str, attempt: str, passed: str, points: str, infra: str) -> DataFrame:
@@ -113,12 +126,16 @@ def telemetry_windows(events: DataFrame, ts: str, busy: Column, capacity: int, s
 
 
 def slow_sessions(calls: DataFrame, ts: str, keys: list[str], seconds: str, slow: float, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Episodes of slow calls, apart by at least ``gap`` without one."""
-    d = calls.where(F.col(seconds) >= slow).withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap).alias("s"))
+    """Episodes of slow calls, apart by at least ``gap`` without one. A row without keys and seconds closes the last ones."""
+    closing = F.coalesce(*[F.col(c).cast("string") for c in (seconds, *keys)]).isNull()
+    d = calls.where((F.col(seconds) >= slow) | closing).withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap).alias("s"))
     return d.agg(F.count(F.lit(1)).alias("calls"), F.max(seconds).alias("slowest")).select(
         *keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "calls", "slowest")
 
 
 def dedupe_updates(updates: DataFrame, ts: str, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Repeated updates within the delay count once; the state stays bounded by the watermark."""
+    """Repeated updates within the delay count once, the first that comes; the state stays bounded by the watermark.
+
+    ``keyed.latest_writes`` keeps the last write instead.
+    """
     return updates.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

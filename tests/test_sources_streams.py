@@ -109,16 +109,6 @@ def _stream(spark, tmp_path, rows, schema, name):
     return folder, lambda: st.stream_units(spark, folder, spark.read.parquet(folder).schema)
 
 
-def test_final_units_stream_hands_on_once(spark, tmp_path):
-    schema = "unit int, status string"
-    sink, state = str(tmp_path / "sink"), str(tmp_path / "state")
-    folder, stream = _stream(spark, tmp_path, [(1, "completed"), (2, "pending")], schema, "led")
-    st.stream_final_units(stream(), ["unit"], "status", sink, state).awaitTermination()
-    _stream(spark, tmp_path, [(1, "completed"), (2, "needs_review"), (2, "completed")], schema, "led")
-    st.stream_final_units(stream(), ["unit"], "status", sink, state).awaitTermination()
-    assert sorted(r["unit"] for r in spark.read.parquet(sink).collect()) == [1, 2]
-
-
 def test_retry_machine_equals_batch(spark, tmp_path):
     rows = [("a", 0, False, 9, False), ("a", 1, True, 8, False), ("b", 0, True, 3, False), ("b", 1, True, 3, False), ("b", 2, True, 3, False), ("c", 0, True, 9, True),
             ("d", 0, False, 0, True), ("d", 1, True, 9, False), ("e", 0, False, 1, False), ("e", 1, False, 1, False), ("e", 2, False, 1, False), ("e", 3, False, 0, True),
