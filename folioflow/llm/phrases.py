@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +29,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Numbers(dict):
-    """Number of each word, in order of appearance; 0 is a break."""
+    """Number of each word, in order of appearance, and the words' hashes; 0 is a break."""
 
     def __init__(self):
         super().__init__({BREAK: 0})
+        self.words, self.hashes = [BREAK], array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
         return n
 
 
@@ -45,11 +49,12 @@ class _Stretch:
     at: np.ndarray
     group: np.ndarray
     words: list[bytes]
+    hashes: np.ndarray
     groups: list[str]
 
     def grams(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, places, hashes) of the phrases of 1 to ``size`` words."""
-        word = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)[self.at]
+        word = self.hashes[self.at]
         seed = np.array([xxhash.xxh64_intdigest(g, 1) for g in self.groups], np.uint64)
         inside = self.at > 0
         h, ok = _mix(word ^ seed[self.group]), inside
@@ -60,27 +65,28 @@ class _Stretch:
             yield n, places, h[places]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], tokens: int = 1_000_000) -> Iterator[_Stretch]:
+def _stretches(batches: Iterator[pa.RecordBatch], tokens: int = 500_000) -> Iterator[_Stretch]:
     numbers, names = _Numbers(), {}
     at, size, group = [], [], []
     total = 0
 
     def out() -> _Stretch:
-        return _Stretch(np.concatenate(at), np.repeat(np.array(group, np.int32), size), list(numbers), list(names))
-
-    for b in batches:
-        for g, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
-            words = t.translate(_TABLE).replace(BREAK, b" \xff ").split()
-            words.append(BREAK)
-            at.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            size.append(len(words))
-            group.append(names.setdefault(g, len(names)))
-            total += len(words)
-            if total >= tokens:
-                yield out()
-                at, size, group, total = [], [], [], 0
-                if len(numbers) > tokens:
-                    numbers = _Numbers()
+        return _Stretch(np.concatenate(at), np.repeat(np.array(group, np.int32), size), numbers.words, np.array(numbers.hashes, np.uint64), list(names))
+
+    for batch in batches:
+        for b in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):  # some texts at a time
+            for g, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                words = t.translate(_TABLE).replace(BREAK, b" \xff ").split()
+                words.append(BREAK)
+                at.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                size.append(len(words))
+                group.append(names.setdefault(g, len(names)))
+                total += len(words)
+                if total >= tokens:
+                    yield out()
+                    at, size, group, total = [], [], [], 0
+                    if len(numbers) > tokens:
+                        numbers, names = _Numbers(), {}
     if at:
         yield out()
 
@@ -109,7 +115,7 @@ class Summary:
         self.waiting.append((keys, counts))
         self.mass += int(counts.sum())
         self.error += error
-        if sum(len(k) for k, _ in self.waiting) > max(self.capacity, 1 << 18):
+        if sum(len(k) for k, _ in self.waiting) > 1 << 20:
             self.settle()
 
     def settle(self) -> None:
@@ -160,7 +166,8 @@ def _frequent(texts: DataFrame, size: int, threshold: int, parts: int | None, ca
                     names=["part", "mass", "error", "keys"])
 
             for b in batches:
-                for p, k, c in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for i in range(b.num_rows):
+                    p, k, c = b.column(0)[i].as_py(), b.column(1)[i].as_buffer(), b.column(2)[i].as_buffer()
                     if p != now:
                         if s is not None:
                             yield out()
