@@ -19,9 +19,9 @@ import os
 import re
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import DataType
 
+from .bpe import byte_letters
+
 # fixed values: CRC-32C polynomial (reflected) and the constant of masked checksums
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
@@ -230,34 +232,57 @@ class TokenRecords(DataSource):
         return _Reader(self.options["path"], int(self.options.get("stretch", 1 << 16)), None if seed is None else int(seed))
 
 
+class _Kept(dict):
+    """What a function gives for each text, kept until there are ``room`` of them."""
+
+    def __init__(self, make: Callable[[str], bytes | None], room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, text: str) -> bytes | None:
+        if len(self) >= self.room:
+            self.clear()
+        self[text] = out = self.make(text)
+        return out
+
+
 class ByteCoder:
-    """Whole texts to ids of the tokenizers library, which is asked once for each word as long as it is kept.
+    """Whole texts to ids of the tokenizers library, whose model is asked once for each word as long as it is kept.
 
     A blank before a word always begins a new word of the vocabulary's split, so a text falls into chunks at its
     blanks. Where white space meets white space over a blank, or letters are uncommon, the text is not cut.
     """
 
-    def __init__(self, spec: str, room: int = 700_000):
+    def __init__(self, spec: str, room: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.letters = dict(enumerate(byte_letters()))
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
-        self.room = room
+        self.words = _Kept(self.word, room)
+        self.chunks = _Kept(self.chunk, room)
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def asked(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words, from the library."""
-        for at in range(0, len(words), 1000):
-            for e in self.library.encode_batch(words[at:at + 1000], add_special_tokens=False):
-                yield self.packed(e.ids)
+    def word(self, word: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def chunk(self, chunk: str) -> bytes | None:
+        """Ids of a blank and a chunk; None if white space at its ends or odd letters need the whole text."""
+        if chunk.isalpha() and (chunk.isascii() or not ODD.search(chunk)):
+            return self.word(" " + chunk)
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace() or self.odd(chunk):
+            return None
+        first, *more = SPLIT.findall(" " + chunk)
+        if not more:
+            return self.word(first)
+        return self.chunks[first[1:]] + b"".join(map(self.words.__getitem__, more))
 
     def odd(self, text: str) -> bool:
         return ODD.search(text) is not None or any(s in text for s in self.special)
@@ -265,40 +290,22 @@ class ByteCoder:
     def whole(self, text: str) -> bytes:
         if self.odd(text):
             return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        words = SPLIT.findall(text)
-        self.learn(words)
-        return b"".join([self.words[w] for w in words])
-
-    def learn(self, words: Iterable[str]) -> None:
-        new = list(set(words).difference(self.words))
-        self.words.update(zip(new, self.asked(new)))
-
-    def meet(self, new: set[str]) -> None:
-        """Ids of chunks not yet known, with the blank before each; None if white space or odd letters are at issue."""
-        plain = [c for c in new if c.isalpha() and not (ODD.search(c) if not c.isascii() else None)]
-        self.chunks.update(zip(plain, self.asked([" " + c for c in plain])))
-        split = {}
-        for c in new.difference(plain):
-            split[c] = None if not c or c[0].isspace() or c[-1].isspace() or self.odd(c) else SPLIT.findall(" " + c)
-        chunks, words = self.chunks, self.words
-        self.learn(w for ws in split.values() if ws for w in ws if w[1:] not in chunks or w[0] != " ")
-        for c, ws in split.items():
-            chunks[c] = None if ws is None else b"".join([words[w] if w in words else chunks[w[1:]] for w in ws])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for kept in (self.chunks, self.words):
-            if len(kept) > self.room:
-                kept.clear()
-        cut = [t.split(" ") for t in texts]
-        self.meet(set(chain.from_iterable(c[1:] for c in cut)).difference(self.chunks))
-        chunks, out = self.chunks, []
-        for text, c in zip(texts, cut):
-            parts = [chunks[x] for x in c[1:]]
-            if None in parts or c[0][-1:].isspace():
-                out.append(self.whole(text))
-            else:
-                out.append(self.whole(c[0]) + b"".join(parts))
-        return out
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        first, *more = text.split(" ")
+        if not first[-1:].isspace():
+            try:
+                return self.whole(first) + b"".join(map(self.chunks.__getitem__, more))
+            except TypeError:  # a chunk that is None
+                pass
+        return self.whole(text)
+
+
+@lru_cache(maxsize=1)
+def coder(spec: str) -> ByteCoder:
+    """One coder per worker process, so that later tasks find the words of earlier ones."""
+    return ByteCoder(spec)
 
 
 def write_prompt_records(
@@ -323,12 +330,12 @@ def write_prompt_records(
     width = array(ByteCoder(spec).code).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = ByteCoder(held.value)
+        c = coder(held.value)
         last = c.packed([end])
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                ids = [x + last for x in c.encode([t or "" for t in part.column(1).to_pylist()])]
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [c.encode(t or "") + last for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     rows = prompts.select(F.col(key).alias("k"), F.col(positive).alias("t")).withColumn("h", F.xxhash64("t"))
