@@ -233,16 +233,18 @@ class TokenRecords(DataSource):
 
 
 class _Kept(dict):
-    """What a function gives for each text, kept until there are ``room`` of them."""
+    """What a function gives for each text, kept for ``room`` texts and for those asked for among the ``room`` before."""
 
     def __init__(self, make: Callable[[str], bytes | None], room: int):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.room, self.old = make, room, {}
 
     def __missing__(self, text: str) -> bytes | None:
         if len(self) >= self.room:
+            self.old = dict(self)
             self.clear()
-        self[text] = out = self.make(text)
+        out = self.old[text] if text in self.old else self.make(text)
+        self[text] = out
         return out
 
 
