@@ -19,11 +19,24 @@ def enrich(
     ``call(rows, errors)`` returns the columns of ``out_schema`` for each row; ``errors`` holds the
     messages of the attempt before ('' at first). ``validate(result)`` gives a list of messages per
     row. Only rows with messages are tried again. ``lanes`` caps the number of parallel calls.
+    Where a call or its validation raises an exception, the rows are halved until the rows that cause it are alone;
+    these have the exception as their message, so they are tried again and quarantined, and all others are kept.
     The result is stored once, so that no call is repeated when both parts are read.
     """
     cols = df.columns
     out_cols = [c.split()[0].strip(":") for c in out_schema.split(",")]
 
+    def attempt(rows: pd.DataFrame, errors: pd.Series) -> tuple[pd.DataFrame, pd.Series]:
+        try:
+            got = call(rows, errors)[out_cols].set_axis(rows.index)
+            return got.astype(object), validate(got).set_axis(rows.index)
+        except Exception as e:  # noqa: BLE001 - whatever the caller's function raises belongs to its rows
+            if len(rows) < 2:
+                return pd.DataFrame(None, rows.index, out_cols, dtype=object), pd.Series([[f"{type(e).__name__}: {e}"]] * len(rows), rows.index, dtype=object)
+            half = len(rows) // 2
+            parts = [attempt(rows.iloc[a:b], errors.iloc[a:b]) for a, b in ((0, half), (half, len(rows)))]
+            return pd.concat([g for g, _ in parts]), pd.concat([m for _, m in parts])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             rows = rows.reset_index(drop=True)
@@ -32,9 +45,8 @@ def enrich(
             attempts = pd.Series(0, index=rows.index)
             left = rows.index
             for _ in range(max_attempts):
-                got = call(rows.loc[left], errors.loc[left])[out_cols].set_axis(left)
-                messages = validate(got).set_axis(left)
-                result.loc[left] = got.astype(object)
+                got, messages = attempt(rows.loc[left], errors.loc[left])
+                result.loc[left] = got
                 attempts.loc[left] += 1
                 errors.loc[left] = messages.map("; ".join)
                 left = left[messages.map(len).to_numpy() > 0]

@@ -8,52 +8,55 @@ from ..functions.spans import span_text
 from ..session import cut_lineage
 from .scan import by_width, numbered, ordered_scan
 
-# An interval is cut into runs of 64 x 64, of 64 and of single positions, so that a position
-# meets it by equality on exactly one of three nodes.
-_FAN = 64
-_LEVELS = 3
+# An interval is cut into single positions and runs of 64, 64 x 64, ... positions, as many levels as
+# the widest interval needs, so that a position meets it by equality on exactly one node.
+_BITS = 6
+_FAN = 1 << _BITS
+
+
+def levels_of(intervals: DataFrame, lo: str, hi: str) -> int:
+    """Levels at which an interval of the table can hold a whole run; an interval then has fewer than 128 nodes per level."""
+    width = intervals.agg(F.max(F.col(hi).cast("bigint") - F.col(lo).cast("bigint"))).first()[0]
+    return 1 + max(0, ((width or 0) + 1).bit_length() - 1) // _BITS
 
 
 def _seq(a: Column, b: Column) -> Column:
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _nodes(lo: Column, hi: Column, level: int = 0) -> Column:
+def _nodes(lo: Column, hi: Column, levels: int) -> Column:
     """Array of ``struct<level,node>`` covering ``lo..hi`` exactly once."""
-    def tag(positions):
-        return F.transform(positions, lambda p: F.struct(F.lit(level).alias("level"), p.alias("node")))
+    first = F.struct(lo.alias("lo"), hi.alias("hi"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+
+    def step(acc, level):
+        a, b = acc["lo"], acc["hi"]
+        up_a, up_b = F.shiftright(a + (_FAN - 1), _BITS), F.shiftright(b + 1, _BITS) - 1
+        inner = (up_a <= up_b) & (level < levels - 1)
+        edges = F.when(inner, F.concat(_seq(a, up_a * _FAN - 1), _seq((up_b + 1) * _FAN, b))).otherwise(_seq(a, b))
+        found = F.transform(edges, lambda p: F.struct(level.alias("level"), p.alias("node")))
+        rest = lambda c, none: F.when(inner, c).otherwise(F.lit(none).cast("bigint"))
+        return F.struct(rest(up_a, 1).alias("lo"), rest(up_b, 0).alias("hi"), F.concat(acc["nodes"], found).alias("nodes"))
 
-    if level == _LEVELS - 1:
-        return tag(_seq(lo, hi))
-    up_lo = F.ceil(lo / _FAN).cast("bigint")
-    up_hi = (F.floor((hi + 1) / _FAN) - 1).cast("bigint")
-    inner = up_lo <= up_hi
-    edges = F.when(
-        inner, F.concat(_seq(lo, up_lo * _FAN - 1), _seq((up_hi + 1) * _FAN, hi))
-    ).otherwise(_seq(lo, hi))
-    return F.concat(tag(edges), F.when(inner, _nodes(up_lo, up_hi, level + 1)).otherwise(tag(_seq(F.lit(1).cast("bigint"), F.lit(0).cast("bigint")))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), first, step, lambda acc: acc["nodes"])
 
 
-def interval_nodes(df: DataFrame, lo: str, hi: str) -> DataFrame:
+def interval_nodes(df: DataFrame, lo: str, hi: str, levels: int) -> DataFrame:
     """One row per (interval, node); columns ``level`` and ``node`` are added."""
     lo_c, hi_c = F.col(lo).cast("bigint"), F.col(hi).cast("bigint")
-    return df.where(lo_c <= hi_c).select("*", F.inline(_nodes(lo_c, hi_c)))
+    return df.where(lo_c <= hi_c).select("*", F.inline(_nodes(lo_c, hi_c, levels)))
 
 
-def _probes(points: DataFrame, pos: str) -> DataFrame:
+def _probes(points: DataFrame, pos: str, levels: int) -> DataFrame:
     """One row per point and level, with the node the point lies in."""
     p = F.col(pos).cast("bigint")
-    nodes = [
-        F.struct(F.lit(i).alias("level"), F.floor(p / (_FAN**i)).cast("bigint").alias("node"))
-        for i in range(_LEVELS)
-    ]
+    nodes = [F.struct(F.lit(i).alias("level"), F.shiftright(p, _BITS * i).alias("node")) for i in range(levels)]
     return points.select("*", F.inline(F.array(*nodes)))
 
 
 def covering_pairs(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, lo: str, hi: str) -> DataFrame:
     """Every (point, interval) with the same keys and ``lo <= pos <= hi``; only true pairs are built."""
-    on = [*keys, "level", "node"]
-    return _probes(points, pos).join(interval_nodes(intervals, lo, hi), on).drop("level", "node")
+    on, levels = [*keys, "level", "node"], levels_of(intervals, lo, hi)
+    return _probes(points, pos, levels).join(interval_nodes(intervals, lo, hi, levels), on).drop("level", "node")
 
 
 def state_at(
@@ -66,8 +69,8 @@ def state_at(
     sorts first by (lo, hi, ord). ``ord`` is unique within a key. States are reduced to one per node and facts to their distinct
     positions before the two meet, so no pairs are built however many states overlap.
     """
-    on = [*keys, "level", "node"]
-    nodes, probes = interval_nodes(states, lo, hi), _probes(facts.select(*keys, pos).distinct(), pos)
+    on, levels = [*keys, "level", "node"], levels_of(states, lo, hi)
+    nodes, probes = interval_nodes(states, lo, hi, levels), _probes(facts.select(*keys, pos).distinct(), pos, levels)
     if policy == "latest_listed":
         best = nodes.groupBy(*on).agg(F.max(ord).alias("_o"))
         hits = probes.join(best, on).groupBy(*keys, pos).agg(F.max("_o").alias("state_" + ord))

@@ -149,28 +149,58 @@ def select_units(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame,
     return df.join(w, key, "left_semi"), w.join(df, key, "left_anti")
 
 
-def unify_aliases(df: DataFrame, col: str, spec: dict[str, list[str]]) -> DataFrame:
-    """Standard columns from JSON whose keys vary; a list gives its first object, a wrapper its inner one.
+def unify_aliases(
+    df: DataFrame, col: str, spec: dict[str, list[str]], bare: tuple[str, str] | None = None, error: str | None = None, depth: int = 4,
+) -> DataFrame:
+    """Standard columns from JSON whose keys vary and which may lie inside lists and wrapper objects.
 
-    The standard key itself comes first, then the aliases in order, letter case ignored.
-    """
-    one, many = "map<string,string>", "array<map<string,string>>"
-    c = F.col(col)
-    base = F.when(F.ltrim(c).startswith("["), F.from_json(c, many)[0]).otherwise(F.from_json(c, one))
-    inner = F.from_json(
-        F.try_element_at(F.filter(F.map_values(base), lambda v: v.startswith("{")), F.lit(1)), one
-    )
-    d = df.withColumn("_m", F.map_entries(base)).withColumn("_n", F.map_entries(inner))
+    An object that has one of the names (letter case ignored) is a record; other objects and all lists are walked into, level
+    by level in the order of the text, ``depth`` objects deep. A column takes its value from the first record that has it, by the
+    standard key itself, then by the aliases in order. With ``bare = (column, key)``, a list whose elements are all objects with that
+    key, or one such object, is that column if there is no record. What is missing is an empty text.
 
-    def look(entries, alias, exact):
-        hit = F.filter(entries, lambda e: (e["key"] if exact else F.lower(e["key"])) == alias)
+    ``error`` names a column for what went wrong: ``not JSON`` or ``no record``, else null; a null text is ``not JSON``.
+    """
+    one, items = "map<string,string>", "array<string>"
+    names = {x for std, aliases in spec.items() for x in (std.lower(), *aliases)}
+    begins = lambda t, *marks: F.substring(F.ltrim(t), 1, 1).isin(*marks)
+    inner = lambda texts: F.filter(texts, lambda t: begins(t, "{", "["))
+    nothing = F.array().cast(items)
+
+    def unlisted(texts):
+        """Elements in place of lists, and of lists inside these."""
+        for _ in range(2):
+            texts = F.flatten(F.transform(texts, lambda t: F.when(begins(t, "["), F.coalesce(inner(F.from_json(t, items)), nothing)).otherwise(F.array(t))))
+        return F.filter(texts, lambda t: begins(t, "{"))
+
+    def named(entries):
+        return F.exists(F.map_keys(entries), lambda k: F.lower(k).isin(*names))
+
+    d = df.withColumn("_at", unlisted(F.when(begins(F.col(col), "{", "["), F.array(col)).otherwise(nothing))).withColumn("_top", F.col("_at"))
+    d = d.withColumn("_r", F.array().cast(f"array<{one}>"))
+    for level in range(depth):
+        read = F.filter(F.transform("_at", lambda t: F.from_json(t, one)), lambda m: m.isNotNull())
+        d = d.withColumn("_m", read).withColumn("_r", F.concat("_r", F.filter("_m", named)))
+        if level < depth - 1:
+            d = d.withColumn("_at", unlisted(F.flatten(F.transform(F.filter("_m", lambda m: ~named(m)), lambda m: inner(F.map_values(m))))))
+
+    def value(alias, exact):
+        held = F.filter("_r", lambda m: F.exists(F.map_keys(m), lambda k: (k if exact else F.lower(k)) == alias))
+        hit = F.filter(F.map_entries(F.try_element_at(held, F.lit(1))), lambda e: (e["key"] if exact else F.lower(e["key"])) == alias)
         return F.try_element_at(hit, F.lit(1))["value"]
 
-    out = {}
-    for std, aliases in spec.items():
-        tries = [look(F.col(m), a, e) for m in ("_m", "_n") for a, e in [(std, True), *[(x, False) for x in aliases]]]
-        out[std] = F.coalesce(*tries, F.lit(""))
-    return d.withColumns(out).drop("_m", "_n")
+    out = {std: F.coalesce(*[value(a, e) for a, e in [(std, True), *[(x, False) for x in aliases]]]) for std, aliases in spec.items()}
+    found = F.size("_r") > 0
+    if bare:
+        column, key = bare
+        every = F.forall("_top", lambda t: F.coalesce(F.map_contains_key(F.from_json(t, one), F.lit(key)), F.lit(False))) & (F.size("_top") > 0)
+        text = F.concat(F.lit("["), F.array_join("_top", ","), F.lit("]"))
+        out[column] = F.when(~found & every, text).otherwise(out[column])
+        found = found | every
+    if error:
+        out[error] = F.when(F.col(col).isNull() | F.try_parse_json(col).isNull(), "not JSON").when(~found, "no record")
+    out = {c: v if c == error else F.coalesce(v, F.lit("")) for c, v in out.items()}
+    return d.withColumns(out).drop("_at", "_top", "_r", "_m")
 
 
 def normalise_category(

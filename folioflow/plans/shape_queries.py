@@ -191,23 +191,36 @@ def select_units(t):
 
 
 @query("unify_aliases", """
-SELECT event_id, CASE event_type WHEN 'error' THEN '' ELSE json_extract_string(props, '$.k') END AS k,
-  CASE event_type WHEN 'click' THEN CAST(user_id AS VARCHAR) ELSE '' END AS note FROM events""")
+SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE json_extract_string(props, '$.k') END AS k,
+  CASE WHEN event_type = 'click' OR event_type = 'view' AND event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS note,
+  CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no record' ELSE 'not JSON' END END AS wrong FROM events""")
 def unify_aliases(t):
     k = F.get_json_object("props", "$.k")
     uid = F.col("user_id").cast("string")
-    kind = F.col("event_type")
+    kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
     raw = (
-        F.when(kind == "view", F.concat(F.lit('{"Key": '), k, F.lit("}")))
+        F.when((kind == "view") & even, F.concat(F.lit('[{"x": 1}, [{"y": {"Key": '), k, F.lit('}}, {"NOTE": '), uid, F.lit("}]]")))  # two records, list in list
+        .when(kind == "view", F.concat(F.lit('{"Key": '), k, F.lit(', "text": {"note": "not of the record"}}')))
         .when(kind == "click", F.concat(F.lit('{"KEYS": "-", "k": '), k, F.lit(', "Remark": "'), uid, F.lit('"}')))
-        .when(kind == "signup", F.concat(F.lit('[{"keys": '), k, F.lit("}]")))
+        .when(kind == "signup", F.concat(F.lit('[{"x": 1}, {"keys": '), k, F.lit("}]")))
+        .when((kind == "purchase") & even, F.concat(F.lit('{"a": {"x": 2}, "wrap": {"deep": [3, {"K": '), k, F.lit("}]}}")))
         .when(kind == "purchase", F.concat(F.lit('{"wrap": {"K": '), k, F.lit("}}")))
-        .otherwise(F.lit('{"other": 1}'))
+        .otherwise(F.when(F.col("event_id") % 3 == 1, '{"other": 1}').when(F.col("event_id") % 3 == 0, '{"k": 1'))
     )
-    d = shape.unify_aliases(t.events.select("event_id", raw.alias("raw")), "raw", {"k": ["k", "key", "keys"], "note": ["note", "remark"]})
+    d = shape.unify_aliases(t.events.select("event_id", raw.alias("raw")), "raw", {"k": ["k", "key", "keys"], "note": ["note", "remark"]}, error="wrong")
     return d.drop("raw")
 
 
+@query("unify_aliases_bare", """
+SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN '[{"name":"' || s_name || '"},{"name":"b","x":1}]' ELSE '[{"name":"' || s_name || '"}]' END AS characters, '' AS style_notes FROM supplier""")
+def unify_aliases_bare(t):
+    from ..functions import fixed
+
+    raw = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('[{"name":"'), "s_name", F.lit('"},{"name":"b","x":1}]'))).otherwise(F.concat(F.lit('{"name":"'), "s_name", F.lit('"}')))
+    d = shape.unify_aliases(t.supplier.select("s_suppkey", raw.alias("raw")), "raw", fixed.RECORD_ALIASES, bare=("characters", "name"))
+    return d.select("s_suppkey", "characters", "style_notes")
+
+
 @query("normalise_category", """
 SELECT doc_id, CASE WHEN lower(lang) IN ('en', 'english') THEN 'english' WHEN lower(lang) = 'fr' THEN 'french'
   WHEN contains(text, ' der ') THEN 'german' ELSE 'other' END AS language FROM documents""")

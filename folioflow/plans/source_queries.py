@@ -49,7 +49,8 @@ def log_lines(t):
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.lpad(n(F.col("event_id") % 1000), 3, "0"))
     msg = (
         F.when(F.col("event_type") == "error", F.concat(F.lit("s2 u"), n(F.col("user_id")), F.lit(": attempt 1 failed: no json")))
-        .when(F.col("event_type") == "click", F.concat(F.lit("[llm] ttft=0.1s total="), n(F.col("event_id") % 97), F.lit(".5s content="), n(F.col("user_id")), F.lit("c")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("[llm] ttft=0.1s total="), n(F.col("event_id") % 97), F.lit(".5s content="), n(F.col("user_id")),
+              F.lit("c reasoning="), n(F.col("event_id") % 13), F.lit("c decode="), n(F.col("event_id") % 97), F.lit(".4s")))
         .otherwise(F.concat(F.lit("s2 u"), n(F.col("user_id")), F.lit(": llm ok in "), n(F.col("event_id") % 97), F.lit(".5s")))
     )
     level = F.when(F.col("event_type") == "error", "WARNING").otherwise("INFO")
@@ -59,14 +60,37 @@ def log_lines(t):
 @query("parse_log_lines", f"""WITH {_LOG_SQL}
 SELECT event_id, date_trunc('second', ts) + ms * INTERVAL 1 MILLISECOND AS log_ts, lvl AS level,
   CASE event_type WHEN 'error' THEN 's2 u' || user_id || ': attempt 1 failed: no json'
-    WHEN 'click' THEN '[llm] ttft=0.1s total=' || sec || '.5s content=' || user_id || 'c' ELSE 's2 u' || user_id || ': llm ok in ' || sec || '.5s' END AS message,
+    WHEN 'click' THEN '[llm] ttft=0.1s total=' || sec || '.5s content=' || user_id || 'c reasoning=' || event_id % 13 || 'c decode=' || sec || '.4s' ELSE 's2 u' || user_id || ': llm ok in ' || sec || '.5s' END AS message,
   CASE WHEN event_type NOT IN ('error', 'click') THEN CAST(sec + 0.5 AS DOUBLE) END AS ok_seconds, event_type = 'error' AS failed,
   CASE WHEN event_type = 'click' THEN CAST(sec + 0.5 AS DOUBLE) END AS total_seconds,
-  CASE WHEN event_type = 'click' THEN CAST(user_id AS INT) END AS content_chars FROM lg""")
+  CASE WHEN event_type = 'click' THEN CAST(user_id AS INT) END AS content_chars, CASE WHEN event_type = 'click' THEN CAST(0.1 AS DOUBLE) END AS ttft_seconds,
+  CASE WHEN event_type = 'click' THEN CAST(sec + 0.4 AS DOUBLE) END AS decode_seconds, CASE WHEN event_type = 'click' THEN CAST(event_id % 13 AS INT) END AS reasoning_chars FROM lg""")
 def parse_log_lines(t):
     return documents.parse_log_lines(log_lines(t).select("event_id", "line"), "line").drop("line")
 
 
+_STITCH_SQL = """st AS (SELECT event_id, user_id % 5 AS file, event_id // 300 AS part, event_type <> 'view' AS starts, event_type FROM events),
+r AS (SELECT *, max(CASE WHEN starts THEN event_id END) OVER (PARTITION BY file ORDER BY event_id) AS rec FROM st)"""
+
+
+def _stitched(t):
+    """Views are continuation lines of the record before; files are users modulo 5, parts 300 events."""
+    d = log_lines(t).withColumn("line", F.when(F.col("event_type") == "view", F.concat(F.lit("  File "), F.col("event_id").cast("string"))).otherwise(F.col("line")))
+    d = d.select((F.col("user_id") % 5).alias("file"), F.floor(F.col("event_id") / 300).alias("part"), "event_id", "line")
+    return documents.stitch_log_lines(d, "line", ["file"], "part", "event_id")
+
+
+@query("stitch_log_records", f"""WITH {_STITCH_SQL}, n AS (SELECT rec, count(*) AS more_lines FROM r WHERE NOT starts GROUP BY rec)
+SELECT file, part, event_id, event_type = 'error' AS failed, coalesce(more_lines, 0) AS more_lines FROM r LEFT JOIN n ON n.rec = r.event_id WHERE starts""")
+def stitch_log_records(t):
+    return _stitched(t)[0].select("file", "part", "event_id", "failed", "more_lines")
+
+
+@query("stitch_log_rest", f"""WITH {_STITCH_SQL} SELECT file, part, event_id, '  File ' || event_id AS line, rec // 300 AS record_block, rec AS record_ord FROM r WHERE NOT starts""")
+def stitch_log_rest(t):
+    return _stitched(t)[1]
+
+
 def ledger_json(t):
     """One run file per order."""
     s = lambda c: F.col(c).cast("string")
@@ -86,6 +110,16 @@ def ledger_rows(t):
     return documents.ledger_rows(ledger_json(t), "stages", ["run_id"])
 
 
+@query("ledger_errors", """
+SELECT o_orderkey AS run_id, CASE o_orderkey % 7 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no stages' WHEN 2 THEN 'no stages' WHEN 3 THEN 'bad stage s0, s1' WHEN 4 THEN 'no stages' END AS error
+FROM orders WHERE o_orderkey % 7 < 5""")
+def ledger_errors(t):
+    m = F.col("run_id") % 7
+    text = F.when(m == 0, F.substring("stages", 1, 40)).when(m == 1, "[1, 2]").when(m == 2, F.lit(None).cast("string")).when(
+        m == 3, F.regexp_replace("stages", '"status": "(completed|pending|in_progress)", "(note|items)"', '"state": "$1", "$2"')).when(m == 4, "{}").otherwise(F.col("stages"))
+    return documents.split_ledger(ledger_json(t).withColumn("stages", text), "stages", ["run_id"])[1].select("run_id", "error")
+
+
 @query("write_report", """
 SELECT CASE WHEN fin > 0 THEN 'unresolved' WHEN ini > 0 THEN 'repaired' ELSE 'pass' END AS verdict, count(*) AS n
 FROM (SELECT CASE WHEN n_chars < 500 THEN 1 ELSE 0 END + CASE WHEN lang <> 'en' THEN 1 ELSE 0 END AS ini, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS fin FROM documents)

@@ -47,12 +47,13 @@ def test_section_docs_logs_and_ledger(spark, tmp_path):
     assert [(r["doc"], r["text"]) for r in rows] == [("p001_02", "## A\nx\ny")]
     (tmp_path / "logs" / "s2.log").write_text(
         "2026-09-28 12:00:00,123 [INFO] s2 L3 p001_02: llm ok in 106.0s\n2026-09-28 12:00:01,000 [WARNING] s2 x: attempt 1 failed: y\nnoise\n")
-    log = documents.read_stage_logs(spark, str(tmp_path / "logs"))
+    log, rest = documents.read_stage_logs(spark, str(tmp_path / "logs"))
+    assert [r["line"] for r in rest.collect()] == ["noise"]
     got = ag.call_accounting(log, ["stage"]).first()
     assert (got["stage"], got["ok_calls"], got["failed_attempts"], got["mean_ok_seconds"]) == ("s2", 1, 1, 106.0)
     run = {"id": "r1", "stages": {"s0": {"status": "completed", "note": "n", "items": {"a": {"status": "failed", "data": {"x": 1}}}}, "s1": {"status": "pending"}}}
     (tmp_path / "runs" / "project.json").write_text(json.dumps(run))
-    rows = {(r["stage"], r["item"], r["status"], r["data"]) for r in documents.read_ledger(spark, str(tmp_path / "runs")).collect()}
+    rows = {(r["stage"], r["item"], r["status"], r["data"]) for r in documents.read_ledger(spark, str(tmp_path / "runs"))[0].collect()}
     assert rows == {("s0", None, "completed", None), ("s0", "a", "failed", '{"x":1}'), ("s1", None, "pending", None)}
 
 
