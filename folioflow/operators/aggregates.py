@@ -93,16 +93,20 @@ def attempt_qc(outcomes: DataFrame) -> DataFrame:
         "review_ok": F.col("review_rate") <= fixed.REVIEW_MAX, "score_ok": F.col("mean_score") >= fixed.SCORE_MIN})
 
 
+def count_text(girls: Column, boys: Column) -> Column:
+    """``1girl, 2boys`` style tag of two counts, ``no humans`` if both are zero or null."""
+    def part(n, word):
+        return F.when(n == 1, F.lit("1" + word)).when(n > 1, F.concat(n.cast("string"), F.lit(word + "s")))
+
+    tag = F.concat_ws(", ", part(girls, "girl"), part(boys, "boy"))
+    return F.when(tag == "", "no humans").otherwise(tag)
+
+
 def count_tag(members: DataFrame, keys: list[str], sex: str) -> DataFrame:
     """``1girl, 2boys`` style tag of a group, ``no humans`` if neither."""
     g = gender(F.col(sex))
     d = members.groupBy(*keys).agg(F.count_if(g == "female").alias("_f"), F.count_if(g == "male").alias("_m"))
-
-    def part(n, word):
-        return F.when(n == 1, F.lit("1" + word)).when(n > 1, F.concat(n.cast("string"), F.lit(word + "s")))
-
-    tag = F.concat_ws(", ", part(F.col("_f"), "girl"), part(F.col("_m"), "boy"))
-    return d.select(*keys, F.when(tag == "", "no humans").otherwise(tag).alias("count_tag"))
+    return d.select(*keys, count_text(F.col("_f"), F.col("_m")).alias("count_tag"))
 
 
 def attribute_conflicts(df: DataFrame, key: list[str], attr: str) -> DataFrame:
@@ -187,12 +191,16 @@ def issues_by_file(issues: DataFrame, file: str, problem: str) -> DataFrame:
         _rows().alias("n_issues"), F.min(problem).alias("first_problem"))
 
 
+def opposite_text(female: Column, male: Column) -> Column:
+    """List against mix-ups if only one of the two occurs, else null."""
+    return F.when(female & ~male, ", ".join(fixed.EXCLUDE_WHEN_FEMALE)).when(male & ~female, ", ".join(fixed.EXCLUDE_WHEN_MALE))
+
+
 def exclusive_negatives(members: DataFrame, keys: list[str], sex: str, base: Column | None = None) -> DataFrame:
     """Groups of one kind only get the opposite list; mixed groups and groups of neither get none."""
     g = gender(F.col(sex))
     d = members.groupBy(*keys).agg(F.bool_or(g == "female").alias("_f"), F.bool_or(g == "male").alias("_m"))
-    own = F.when(F.col("_f") & ~F.col("_m"), ", ".join(fixed.EXCLUDE_WHEN_FEMALE)).when(
-        F.col("_m") & ~F.col("_f"), ", ".join(fixed.EXCLUDE_WHEN_MALE))
+    own = opposite_text(F.col("_f"), F.col("_m"))
     return d.select(*keys, F.concat_ws(", ", own, *([] if base is None else [base])).alias("negative"))
 
 

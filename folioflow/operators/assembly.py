@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import boxes, fixed, seeds
 from ..functions.clock import clock_seconds
 from ..functions.text import drop_cjk_tags, gender, number, strip, tokens
-from ..session import cut_lineage
-from .aggregates import count_tag, exclusive_negatives, ordered_concat
+from .aggregates import count_text, opposite_text, ordered_concat
 from .intervals import state_at
+from .scan import numbered
 
 
 def resolve_entities(mentions: DataFrame, entities: DataFrame, states: DataFrame, entity: str, page: str, state_payload: list[str], policy: str = "latest_listed") -> DataFrame:
@@ -38,46 +38,67 @@ def entity_block(anchor: Column, tags: Column, state_tags: Column) -> Column:
     return F.concat_ws(", ", filled(anchor), filled(tags), filled(state_tags))
 
 
+def cast_texts(cast: DataFrame, panel: str, order: list[str], block: Column, sex: str, entity: str | None = None, known: Column | None = None, blocks=None) -> DataFrame:
+    """One row per panel: blocks of the cast in order, counts of both sexes (of ``known`` members), anchors, names.
+
+    A large cast is numbered by the scan, put together in parts of 1000 members, and the parts of a panel are then
+    joined, so all is read once and no task holds the members of a panel, only its finished texts.
+    """
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    name = F.col(entity).cast("string") if entity else F.lit(None).cast("string")
+    d = cast.select(panel, *order, filled(block).alias("_line"), filled(F.col("anchor")).alias("_anchor"), name.alias("_name"),
+                    F.when(known if known is not None else F.lit(True), gender(F.col(sex))).alias("_sex"))
+    d = numbered(d, [panel], order, "_rn", blocks)
+    rows = F.array_sort(F.collect_list(F.struct("_rn", "_line", "_anchor", "_name")))
+    parts = d.groupBy(panel, F.floor((F.col("_rn") - 1) / 1000).alias("part")).agg(
+        rows.alias("_rows"), F.count_if(F.col("_sex") == "female").alias("_f"), F.count_if(F.col("_sex") == "male").alias("_m"), F.count("_sex").alias("_known"))
+    column = lambda f: F.filter(F.transform("_rows", lambda r: r[f]), lambda x: x.isNotNull())
+    parts = parts.select(panel, "_f", "_m", "_known", F.struct(
+        "part", F.nullif(F.array_join(column("_line"), ", "), F.lit("")).alias("text"), column("_anchor").alias("anchors"), column("_name").alias("names")).alias("_p"))
+    whole = parts.groupBy(panel).agg(F.array_sort(F.collect_list("_p")).alias("_ps"), F.sum("_f").alias("_f"), F.sum("_m").alias("_m"), F.sum("_known").alias("_known"))
+    return whole.select(
+        panel, "_f", "_m", "_known", F.array_join(F.transform("_ps", lambda p: p["text"]), ", ").alias("text"),
+        F.flatten(F.transform("_ps", lambda p: p["anchors"])).alias("anchors"), F.flatten(F.transform("_ps", lambda p: p["names"])).alias("names"))
+
+
 def assemble_prompts(
     panels: DataFrame, resolved: DataFrame, panel: str, order: list[str], run_id: str, *, sex: str = "gender", tags: str = "tags",
     state_tags: str = "state_tags", scene: str = "scene", tail: str = "tail", negative: str = "negative", crop_w: str = "crop_w",
-    crop_h: str = "crop_h", blocks=None,
+    crop_h: str = "crop_h", entity: str | None = None, carry: list[str] = (), blocks=None,
 ) -> DataFrame:
-    """One prompt per panel. A panel with more than 1000 entities goes on in further parts."""
-    resolved = cut_lineage(resolved)  # read for the texts, the counts and the negatives
+    """One prompt per panel, whatever the size of its cast; ``carry`` names columns of the panels to keep (page, order, ...)."""
     block = entity_block(F.col("anchor"), F.col(tags), F.col(state_tags))
-    texts = ordered_concat(resolved, [panel], order, block, ", ", blocks=blocks)
-    counts = count_tag(resolved, [panel], sex)
-    negs = exclusive_negatives(resolved, [panel], sex).withColumnRenamed("negative", "_opposite")
-    d = panels.join(counts, panel, "left").join(negs, panel, "left").join(texts, panel, "left")
-    first = F.coalesce(F.col("part"), F.lit(0)) == 0
-    count = F.coalesce(F.col("count_tag"), F.lit("no humans"))
+    d = panels.join(cast_texts(resolved, panel, order, block, sex, entity, blocks=blocks), panel, "left")
+    f, m = F.coalesce("_f", F.lit(0)), F.coalesce("_m", F.lit(0))
+    count, bare, end = count_text(f, m), F.array_join(tokens(F.col(scene)), ", "), quality_tail(F.col(tail))
     shape = boxes.shape_of(F.col(crop_w), F.col(crop_h))
-    neg = F.concat_ws(", ", F.nullif(F.col("_opposite"), F.lit("")), F.nullif(F.col(negative), F.lit("")))
+    none = F.array().cast("array<string>")
+    neg = F.concat_ws(", ", opposite_text(f > 0, m > 0), F.nullif(F.col(negative), F.lit("")))
     return d.select(
-        panel, F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), count.alias("count_tag"),
-        positive_text(F.when(first, count), F.col("text"), F.when(first, F.array_join(tokens(F.col(scene)), ", ")), quality_tail(F.col(tail))).alias("positive"),
-        neg.alias("negative_text"), shape.alias("size_bucket"), boxes.bucket_side(shape, 0).alias("width"), boxes.bucket_side(shape, 1).alias("height"),
+        panel, *carry, count.alias("count_tag"), positive_text(count, F.col("text"), bare, end).alias("positive"), neg.alias("negative_text"),
+        F.coalesce("anchors", none).alias("anchors"), F.coalesce("names", none).alias("characters"), bare.alias("scene_tags"), end.alias("quality_tail"),
+        shape.alias("size_bucket"), boxes.bucket_side(shape, 0).alias("width"), boxes.bucket_side(shape, 1).alias("height"),
+        F.when(shape.isNotNull(), F.round(F.col(crop_w) / F.col(crop_h), 4)).alias("crop_aspect"),
         seeds.seed32(F.concat(F.lit(run_id + ":"), F.col(panel).cast("string"))).alias("seed"))
 
 
 def repair_prompts(prompts: DataFrame, cast: DataFrame, entities: DataFrame, panel: str, order: list[str]) -> DataFrame:
     """Rebuild prompts from the current entities: block, bucket, count tag; non-Latin tags leave scene and tail.
 
-    Entities that are not in the settings keep the block stored with the cast.
+    One row per prompt, whatever the size of its cast. Entities that are not in the settings keep the block stored with the cast.
     """
     now = entities.select("name", *[F.col(c).alias("_n_" + c) for c in ("anchor", "tags", "state_tags", "gender")], F.lit(True).alias("_known"))
     d = cast.join(now, "name", "left")
     pick = lambda c: F.when(F.col("_known"), F.col("_n_" + c)).otherwise(F.col(c))
     d = d.withColumns({c: pick(c) for c in ("anchor", "tags", "state_tags", "gender")}).withColumn("anchor", drop_cjk_tags(F.col("anchor")))
-    texts = ordered_concat(d, [panel], order, entity_block(F.col("anchor"), F.col("tags"), F.col("state_tags")), ", ")
-    counts = count_tag(d.where("_known"), [panel], "gender").withColumnRenamed("count_tag", "_count")
+    block = entity_block(F.col("anchor"), F.col("tags"), F.col("state_tags"))
+    texts = cast_texts(d, panel, order, block, "gender", known=F.coalesce("_known", F.lit(False))).drop("anchors", "names")
     tail = F.replace(drop_cjk_tags(F.col("quality_tail")), F.lit(", "), F.lit(","))
     p = prompts.withColumns({"scene_tags": drop_cjk_tags(F.col("scene_tags")), "quality_tail": quality_tail(tail)})
-    p = p.join(texts, panel, "left").join(counts, panel, "left")
+    p = p.join(texts, panel, "left")
     shape = boxes.shape_of(F.col("crop_w"), F.col("crop_h"))
     p = p.withColumns({
-        "count_tag": F.coalesce("_count", "count_tag"), "size_bucket": shape,
+        "count_tag": F.when(F.col("_known") > 0, count_text(F.col("_f"), F.col("_m"))).otherwise(F.col("count_tag")), "size_bucket": shape,
         "width": boxes.bucket_side(shape, 0), "height": boxes.bucket_side(shape, 1)})
     return p.withColumn("positive", positive_text(F.col("count_tag"), F.col("text"), F.col("scene_tags"), F.col("quality_tail"))).select(*prompts.columns)
 

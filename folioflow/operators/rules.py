@@ -207,7 +207,8 @@ def check_prompts_set(prompts: DataFrame, cast: DataFrame, entities: DataFrame,
     cjk = F.filter(tokens(c("positive")), lambda s: has_cjk(s))
     own = prompts.select(panel, F.explode(F.filter(F.array(
         F.when(F.size(tag_set(c("positive"))) == 0, F.struct(F.lit("empty").alias("rule"), F.lit("").alias("detail"))),
-        F.when((here != c("size_bucket")) | (want_w != c("width")) | (want_h != c("height")), F.struct(F.lit("bucket").alias("rule"), here.alias("detail"))),
+        F.when(~here.eqNullSafe(c("size_bucket")) | ~want_w.eqNullSafe(c("width")) | ~want_h.eqNullSafe(c("height")) | here.isNull(),
+               F.struct(F.lit("bucket").alias("rule"), F.coalesce(here, F.lit("no crop size")).alias("detail"))),
         F.when(F.size(cjk) > 0, F.struct(F.lit("cjk").alias("rule"), F.array_join(cjk, "; ").alias("detail"))),
         F.when(has_cjk(c("negative")), F.struct(F.lit("warn negative cjk").alias("rule"), F.lit("").alias("detail"))),
     ), lambda e: e.isNotNull())).alias("_e")).select(panel, "_e.*")

@@ -90,18 +90,19 @@ def resolve_entities(t):
 
 
 @query("assemble_prompts", f"""WITH {_RESOLVED_SQL},
-a AS (SELECT panel, string_agg(concat_ws(', ', nullif(anchor, ''), nullif(tags, ''), nullif(state_tags, '')), ', ' ORDER BY {_O}) AS blocks, count(*) FILTER (gender = 'female') AS f, count(*) FILTER (gender = 'male') AS m FROM rs GROUP BY 1),
-b AS (SELECT o_orderkey AS panel, blocks, coalesce(f, 0) AS f, coalesce(m, 0) AS m, o_orderpriority AS scene, 600 + o_custkey % 900 AS cw FROM orders LEFT JOIN a ON a.panel = o_orderkey),
+a AS (SELECT panel, string_agg(concat_ws(', ', nullif(anchor, ''), nullif(tags, ''), nullif(state_tags, '')), ', ' ORDER BY {_O}) AS blocks, string_agg(nullif(anchor, ''), '|' ORDER BY {_O}) AS anchors, string_agg(entity, '|' ORDER BY {_O}) AS characters, count(*) FILTER (gender = 'female') AS f, count(*) FILTER (gender = 'male') AS m FROM rs GROUP BY 1),
+b AS (SELECT o_orderkey AS panel, o_custkey % 40 AS page, blocks, anchors, characters, coalesce(f, 0) AS f, coalesce(m, 0) AS m, o_orderpriority AS scene, 600 + o_custkey % 900 AS cw FROM orders LEFT JOIN a ON a.panel = o_orderkey),
 c AS (SELECT *, CASE WHEN f = 0 AND m = 0 THEN 'no humans' ELSE concat_ws(', ', CASE WHEN f = 1 THEN '1girl' WHEN f > 1 THEN f || 'girls' END, CASE WHEN m = 1 THEN '1boy' WHEN m > 1 THEN m || 'boys' END) END AS ct,
   CASE WHEN cw / 1000 < 0.8 THEN 'vertical' WHEN cw / 1000 > 1.25 THEN 'horizontal' ELSE 'square' END AS bk FROM b)
-SELECT panel, CAST(0 AS BIGINT) AS part, ct AS count_tag, concat_ws(', ', ct, blocks, scene) || ',masterpiece,best quality,' AS positive,
+SELECT panel, page, coalesce(anchors, '') AS anchors, coalesce(characters, '') AS characters, scene AS scene_tags, ',masterpiece,best quality,' AS quality_tail, round(cw / 1000, 4) AS crop_aspect, ct AS count_tag, concat_ws(', ', ct, blocks, scene) || ',masterpiece,best quality,' AS positive,
   concat_ws(', ', CASE WHEN f > 0 AND m = 0 THEN '{", ".join(fixed.EXCLUDE_WHEN_FEMALE)}' WHEN m > 0 AND f = 0 THEN '{", ".join(fixed.EXCLUDE_WHEN_MALE)}' END, 'lowres') AS negative_text,
   bk AS size_bucket, CASE bk WHEN 'vertical' THEN 1024 WHEN 'horizontal' THEN 1408 ELSE 1216 END AS width, CASE bk WHEN 'vertical' THEN 1408 WHEN 'horizontal' THEN 1024 ELSE 1216 END AS height,
   CAST('0x' || substr(md5('run1:' || panel), 1, 8) AS BIGINT) AS seed FROM c""")
 def assemble_prompts(t):
     panels = t.orders.select(F.col("o_orderkey").alias("panel"), F.concat("o_orderpriority", F.lit(", ")).alias("scene"), F.lit("").alias("tail"), F.lit("lowres").alias("negative"),
-                             (600 + F.col("o_custkey") % 900).alias("crop_w"), F.lit(1000).alias("crop_h"))
-    return asm.assemble_prompts(panels, resolved(t), "panel", PANEL_ORDER, "run1", blocks=panel_blocks())
+                             (600 + F.col("o_custkey") % 900).alias("crop_w"), F.lit(1000).alias("crop_h"), (F.col("o_custkey") % 40).alias("page"))
+    made = asm.assemble_prompts(panels, resolved(t), "panel", PANEL_ORDER, "run1", entity="entity", carry=["page"], blocks=panel_blocks())
+    return made.withColumns({c: F.array_join(c, "|") for c in ("anchors", "characters")})
 
 
 @query("entity_cards", """SELECT s_nationkey, CAST(0 AS BIGINT) AS part, string_agg('### ' || s_name || '（' || CASE WHEN s_suppkey % 3 = 0 THEN 'female' ELSE 'unknown' END || '）' || chr(10) || '- ' || n_name || chr(10) || '- ' ||

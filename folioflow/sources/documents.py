@@ -134,9 +134,8 @@ def split_ledger(df: DataFrame, col: str, keys: list[str]) -> tuple[DataFrame, D
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Run files ``{id, created, params, stages}`` as ledger rows, and the files that cannot be read: ``run_id`` (the file's name
-    if it has no id), ``stages`` (the whole text if there are none) and ``error``."""
-    # the text reader gives no row for an empty file
-    d = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    if it has no id), ``stages`` (the whole text if there are none) and ``error``. Spark's readers pass over files of no bytes."""
+    d = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     whole = F.try_parse_json("value").isNotNull()
     d = d.select(
         F.coalesce(F.get_json_object(F.when(whole, F.col("value")), "$.id"), F.col("name")).alias("run_id"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import fixed
-from folioflow.operators import enrich as en, intervals as iv, shape
+from folioflow.operators import assembly as asm, enrich as en, intervals as iv, rules, shape
 from folioflow.sources import documents
 
 
@@ -71,11 +71,11 @@ def test_lines_go_on_over_blocks_and_null_keys(spark):
 
 def test_unreadable_runs_are_kept(spark, tmp_path):
     good = {"id": "r1", "stages": {"s0": {"status": "completed", "items": {"a": {"status": "failed", "data": {"x": 1}}}}}}
-    for name, text in {"a.json": json.dumps(good), "b.json": '{"id": "r2", "stages": {', "c.json": '{"id": "r3"}', "d.json": '{"id": "r4", "stages": {"s0": 5, "s1": {"status": "completed"}}}', "e.json": ""}.items():
+    for name, text in {"a.json": json.dumps(good), "b.json": '{"id": "r2", "stages": {', "c.json": '{"id": "r3"}', "d.json": '{"id": "r4", "stages": {"s0": 5, "s1": {"status": "completed"}}}'}.items():
         (tmp_path / name).write_text(text)
     rows, bad = documents.read_ledger(spark, str(tmp_path))
     assert {(r["run_id"], r["stage"], r["item"], r["status"]) for r in rows.collect()} == {("r1", "s0", None, "completed"), ("r1", "s0", "a", "failed")}
-    assert {r["run_id"]: r["error"] for r in bad.collect()} == {"b.json": "not JSON", "r3": "no stages", "r4": "bad stage s0", "e.json": "not JSON"}
+    assert {r["run_id"]: r["error"] for r in bad.collect()} == {"b.json": "not JSON", "r3": "no stages", "r4": "bad stage s0"}
 
 
 def test_a_call_that_raises_costs_its_own_rows_only(spark):
@@ -95,3 +95,34 @@ def test_a_call_that_raises_costs_its_own_rows_only(spark):
     assert sorted(r["i"] for r in good.collect()) == [i for i in range(50) if i not in (7, 40)]
     assert good.where("i = 33").first()["attempts"] == 2 and good.where("i <> 33 AND attempts > 1").count() == 0
     assert {(r["i"], r["attempts"], r["error"]) for r in bad.collect()} == {(7, 2, "RuntimeError: model gone"), (40, 2, "KeyError: 'o'")}
+
+
+def test_one_prompt_whatever_the_cast(spark):
+    n = 2500
+    cast = spark.range(n).select(F.lit("p1").alias("panel"), F.col("id").alias("ord"), F.concat(F.lit("e"), "id").alias("name"), F.lit("").alias("anchor"), F.concat(F.lit("t"), "id").alias("tags"),
+                                 F.lit("").alias("state_tags"), F.when(F.col("id") == 7, "Girl").otherwise("-").alias("gender"))
+    cast = cast.unionByName(spark.createDataFrame([("p2", 1, "x", "a1", "", "", "boy"), ("p2", 0, "y", "", "", "", "boy"), ("p9", 0, "z", "", "", "", None)], "panel string, ord long, name string, anchor string, tags string, state_tags string, gender string"))
+    panels = spark.createDataFrame([("p1", 4, "forest", "", "lowres", 800, 1000), ("p2", 5, "", None, None, None, 0), ("p3", 6, None, "x", "", 10, 0)],
+                                   "panel string, page int, scene string, tail string, negative string, crop_w int, crop_h int")
+    got = {r["panel"]: r for r in asm.assemble_prompts(panels, cast, "panel", ["ord"], "run", entity="name", carry=["page"]).collect()}
+    assert len(got) == 3 and got["p1"]["positive"] == "1girl, " + ", ".join(f"t{i}" for i in range(n)) + ", forest,masterpiece,best quality,"
+    assert got["p1"]["characters"] == [f"e{i}" for i in range(n)] and (got["p1"]["page"], got["p1"]["crop_aspect"], got["p1"]["anchors"]) == (4, 0.8, [])
+    assert (got["p2"]["positive"], got["p2"]["anchors"], got["p2"]["crop_aspect"]) == ("2boys, a1,masterpiece,best quality,", ["a1"], None)
+    assert (got["p3"]["count_tag"], got["p3"]["positive"]) == ("no humans", "no humans,x,")
+
+    prompts = panels.select("panel", "crop_w", "crop_h", F.lit("rain, 夜").alias("scene_tags"), F.lit("fine").alias("quality_tail"), F.lit("3girls").alias("count_tag"),
+                            F.lit("").alias("size_bucket"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit("").alias("positive"))
+    now = spark.range(0, n, 1000).select(F.concat(F.lit("e"), "id").alias("name"), F.lit("A, 红").alias("anchor"), F.concat(F.lit("n"), "id").alias("tags"), F.lit("").alias("state_tags"), F.lit("boy").alias("gender"))
+    fixed = {r["panel"]: r for r in asm.repair_prompts(prompts, cast, now, "panel", ["ord"]).collect()}
+    assert len(fixed) == 3
+    assert fixed["p1"]["positive"] == "3boys, " + ", ".join(f"A, n{i}" if i % 1000 == 0 else f"t{i}" for i in range(n)) + ", rain,fine,"
+    assert fixed["p2"]["positive"] == "3girls, a1, rain,fine," and fixed["p3"]["positive"] == "3girls, rain,fine,"  # nobody known: the stored tag stays
+
+
+def test_missing_crop_size_is_an_error(spark):
+    rows = [("a", "x", "", 1024, 1408, "vertical", 700, 1000), ("b", "x", "", 1024, 1408, "vertical", None, 1000), ("c", "x", "", None, None, None, None, None), ("d", "x", "", None, 1408, "vertical", 700, 1000)]
+    prompts = spark.createDataFrame(rows, "panel string, positive string, negative string, width int, height int, size_bucket string, crop_w int, crop_h int")
+    cast = spark.createDataFrame([], "panel string, name string, anchor string")
+    entities = spark.createDataFrame([], "name string, tags string, state_tags string")
+    got = {(r["panel"], r["detail"]) for r in rules.check_prompts_set(prompts, cast, entities, "panel").where("rule = 'bucket'").collect()}
+    assert got == {("b", "no crop size"), ("c", "no crop size"), ("d", "vertical")}
