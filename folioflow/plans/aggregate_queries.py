@@ -51,7 +51,7 @@ def unresolved_units(t):
 def attempts_of_events(t):
     """Three events of a row are the attempts of one unit; some units have fewer, some break."""
     infra = (F.col("event_type") == "signup") & (F.col("value") > 80)
-    return t.events.where("event_id % 7 <> 6").select(
+    return t.events.select(
         F.floor(F.col("event_id") / 3).alias("unit"), (F.col("event_id") % 3).cast("int").alias("attempt"),
         (F.col("event_type") != "error").alias("passed"), F.when(F.col("event_type") == "view", "n/a").otherwise(F.col("value").cast("int").cast("string")).alias("points"),
         infra.alias("infra"))
@@ -59,7 +59,7 @@ def attempts_of_events(t):
 
 ATTEMPTS_SQL = """att AS (SELECT event_id // 3 AS unit, CAST(event_id % 3 AS INT) AS attempt, event_type <> 'error' AS passed,
   CASE WHEN event_type = 'view' THEN 0 ELSE least(10, greatest(0, CAST(trunc(value) AS INT))) END AS score,
-  event_type = 'signup' AND value > 80 AS infra FROM events WHERE event_id % 7 <> 6),
+  event_type = 'signup' AND value > 80 AS infra FROM events),
 shut AS (SELECT unit, min(attempt) AS closing FROM att WHERE infra OR (passed AND score >= 7) GROUP BY 1),
 counted AS (SELECT att.*, closing FROM att LEFT JOIN shut USING (unit) WHERE closing IS NULL OR attempt <= closing),
 fin AS (SELECT unit, count(*) FILTER (NOT infra) AS n_attempts, max(attempt) FILTER (NOT infra) AS final_attempt,
@@ -118,10 +118,10 @@ def attribute_conflicts(t):
     return ag.attribute_conflicts(d, ["text"], "attr")
 
 
-@query("ordered_concat", """SELECT conv_id, (r - 1) // 4 AS part, string_agg(turn || ' ' || role || ': ' || substr(text, 1, 30), chr(10) ORDER BY turn) AS text
+@query("ordered_concat", """SELECT conv_id, (r - 1) // 4 AS part, string_agg(turn || ' ' || role || ': ' || text, chr(10) ORDER BY turn) AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1, 2""")
 def ordered_concat(t):
-    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(": "), F.substring("text", 1, 30))
+    line = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit(": "), "text")
     return ag.ordered_concat(t.conversations, ["conv_id"], ["turn"], line, part_rows=4)
 
 

@@ -32,27 +32,27 @@ def fuzzy_matches_or_all(t):
 
 @query("phrase_hits", """
 WITH ph AS (SELECT item_id AS pid, text AS phrase FROM benchmark
-  UNION ALL SELECT 100000 + item_id, substr(text, 1, 40) FROM benchmark
+  UNION ALL SELECT 100000 + item_id, text FROM benchmark
   UNION ALL SELECT 200000 + item_id, substr(text, 3, 9) FROM benchmark)
 SELECT doc_id, pid FROM documents, ph WHERE trim(phrase) <> '' AND contains(text, phrase)""")
 def phrase_hits(t):
     b = t.benchmark
     ph = (
         b.select(F.col("item_id").alias("pid"), F.col("text").alias("phrase"))
-        .unionByName(b.select((100000 + F.col("item_id")).alias("pid"), F.substring("text", 1, 40).alias("phrase")))
+        .unionByName(b.select((100000 + F.col("item_id")).alias("pid"), F.col("text").alias("phrase")))
         .unionByName(b.select((200000 + F.col("item_id")).alias("pid"), F.substring("text", 3, 9).alias("phrase")))
     )
     return joins.phrase_hits(t.documents, "doc_id", "text", ph, "pid", "phrase")
 
 
 @query("mention_join", r"""
-WITH al AS (SELECT item_id // 2 AS entity, item_id AS ord, lower(substr(text, 1, 40)) AS alias FROM benchmark),
+WITH al AS (SELECT item_id // 2 AS entity, item_id AS ord, lower(text) AS alias FROM benchmark),
 hit AS (SELECT doc_id, entity, min(ord) AS ord FROM documents, al WHERE contains(lower(text), alias) GROUP BY 1, 2)
 SELECT doc_id, entity, ord, 'matched' AS outcome FROM hit
 UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN length(regexp_replace(text, '\s+', '', 'g')) <= 2 OR contains(text, '（无）') OR contains(text, '(无)') THEN 'empty' ELSE 'needs_model' END
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)""")
 def mention_join(t):
-    al = t.benchmark.select(F.floor(F.col("item_id") / 2).alias("entity"), F.col("item_id").alias("ord"), F.substring("text", 1, 40).alias("alias"))
+    al = t.benchmark.select(F.floor(F.col("item_id") / 2).alias("entity"), F.col("item_id").alias("ord"), F.col("text").alias("alias"))
     return joins.mention_join(t.documents.select("doc_id", "text"), "doc_id", "text", al, "entity", "ord", "alias")
 
 
@@ -88,14 +88,14 @@ def prefer_variant(t):
 
 
 @query("verbatim_missing", """
-WITH r AS (SELECT item_id AS doc_id, substr(text, 1, 40) AS wanted FROM benchmark
+WITH r AS (SELECT item_id AS doc_id, text AS wanted FROM benchmark
   UNION ALL SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 5, 12) WHEN 1 THEN '（' || lang || '）' WHEN 2 THEN '  ' ELSE source || lang END FROM documents)
 SELECT doc_id, wanted FROM r JOIN documents USING (doc_id)
 WHERE trim(wanted) <> '' AND NOT (wanted LIKE '（%）') AND NOT contains(text, regexp_replace(wanted, '^\\s+|\\s+$', '', 'g'))""".replace("\\\\", "\\"))
 def verbatim_missing(t):
     m = F.col("doc_id") % 4
     own = F.when(m == 0, F.substring("text", 5, 12)).when(m == 1, F.concat(F.lit("（"), "lang", F.lit("）"))).when(m == 2, "  ").otherwise(F.concat("source", "lang"))
-    need = t.benchmark.select(F.col("item_id").alias("doc_id"), F.substring("text", 1, 40).alias("wanted")).unionByName(
+    need = t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("wanted")).unionByName(
         t.documents.select("doc_id", own.alias("wanted")))
     return joins.verbatim_missing(need, t.documents, ["doc_id"], "wanted", "text")
 
@@ -139,11 +139,11 @@ def stage_ledger(t):
     stage = F.element_at(F.array(*[F.lit(s) for s in fixed.STAGES]), ((F.col("event_id") * 7 + F.col("user_id")) % 10 + 1).cast("int"))
     v = F.col("event_id") % 5
     status = F.when(v < 3, "completed").when(v == 3, "failed").otherwise("in_progress")
-    return t.events.where("event_id % 3 <> 0").select(F.col("user_id").alias("run"), stage.alias("stage"), status.alias("status"), "ts", "event_id")
+    return t.events.select(F.col("user_id").alias("run"), stage.alias("stage"), status.alias("status"), "ts", "event_id")
 
 
 STAGE_LEDGER_SQL = """sl AS (SELECT user_id AS run, [{stages}][(event_id * 7 + user_id) % 10 + 1] AS stage,
-  CASE WHEN event_id % 5 < 3 THEN 'completed' WHEN event_id % 5 = 3 THEN 'failed' ELSE 'in_progress' END AS status, ts, event_id FROM events WHERE event_id % 3 <> 0),
+  CASE WHEN event_id % 5 < 3 THEN 'completed' WHEN event_id % 5 = 3 THEN 'failed' ELSE 'in_progress' END AS status, ts, event_id FROM events),
 cur AS (SELECT run, stage, arg_max(status, ts) AS status FROM sl GROUP BY 1, 2)""".format(stages=", ".join(f"'{s}'" for s in fixed.STAGES))
 _DEPS_SQL = "dep(stage, dep) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in fixed.STAGE_DEPS) + ")"
 _STATES_SQL = f"""WITH RECURSIVE {STAGE_LEDGER_SQL}, {_DEPS_SQL},

@@ -132,7 +132,7 @@ SELECT unit, attempt, CAST(CASE WHEN c = 'f' THEN n - 1 ELSE n END AS INT) AS us
 def stream_retry_machine(t):
     from ..functions.seeds import score
     c = F.col
-    d = _event_stream(t).where("event_id % 7 <> 6").select(
+    d = _event_stream(t).select(
         F.floor(c("event_id") / 3).alias("unit"), (c("event_id") % 3).cast("int").alias("attempt"), (c("event_type") != "error").alias("passed"),
         score(F.when(c("event_type") == "view", "n/a").otherwise(c("value").cast("int").cast("string"))).alias("points"),
         ((c("event_type") == "signup") & (c("value") > 80)).alias("infra"))

@@ -22,9 +22,9 @@ def chunk(t):
 
 
 @query("with_previous", """SELECT conv_id, turn, CASE WHEN row_number() OVER w = 1 THEN '(start)' ELSE coalesce(nullif(lag(s) OVER w, ''), '(missing)') END AS previous
-FROM (SELECT *, CASE WHEN role = 'system' THEN '' ELSE substr(text, 1, 30) END AS s FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+FROM (SELECT *, CASE WHEN role = 'system' THEN '' ELSE text END AS s FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def with_previous(t):
-    s = F.when(F.col("role") == "system", "").otherwise(F.substring("text", 1, 30))
+    s = F.when(F.col("role") == "system", "").otherwise(F.col("text"))
     return wn.with_previous(t.conversations.select("conv_id", "turn", s.alias("s")), ["conv_id"], ["turn"], "s", "(start)", "(missing)").drop("s")
 
 
@@ -128,12 +128,12 @@ def shot_table_gate(t):
 
 
 @query("stage_overlap", """
-WITH p AS (SELECT user_id, event_type, min(ts) AS s, max(ts) AS e FROM events WHERE event_id % 13 = user_id % 13 GROUP BY 1, 2)
+WITH p AS (SELECT user_id, event_type, min(ts) AS s, max(ts) AS e FROM events GROUP BY 1, 2)
 SELECT a.user_id, a.event_type AS stage_a, b.event_type AS stage_b, greatest(a.s, b.s) < least(a.e, b.e) AS overlaps,
   CASE WHEN greatest(a.s, b.s) < least(a.e, b.e) THEN date_sub('second', greatest(a.s, b.s), least(a.e, b.e)) ELSE 0 END AS seconds
 FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type < b.event_type""")
 def stage_overlap(t):
-    e = t.events.where("event_id % 13 = user_id % 13")
+    e = t.events
     return wn.stage_overlap(e, "user_id", "event_type", "ts", "ts")
 
 
