@@ -13,7 +13,7 @@ from .views import SCRIPTS_SQL, scripts
 
 @query("check_layout", f"""
 WITH {_BOXES_SQL}, pn AS (SELECT l_orderkey AS page, CAST(l_linenumber AS INT) - CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS no, x, y, w, h, CASE WHEN l_suppkey % 20 = 0 THEN 'oval' ELSE shape END AS shape FROM bx),
-pg AS (SELECT o_orderkey AS page, CASE WHEN o_orderkey % 40 = 0 THEN ' ' ELSE o_orderpriority END AS summary FROM orders WHERE o_orderstatus <> 'P')
+pg AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS page, CASE WHEN o_orderkey % 40 = 0 THEN ' ' ELSE o_orderpriority END AS summary FROM orders)
 SELECT page, no, 'no' AS rule FROM pn WHERE no < 1
 UNION ALL SELECT page, no, 'box origin' FROM pn WHERE NOT (x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1)
 UNION ALL SELECT page, no, 'box size' FROM pn WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND (w <= 0 OR h <= 0)
@@ -25,7 +25,7 @@ def check_layout(t):
     panels = _boxes(t).select(
         F.col("l_orderkey").alias("page"), (F.col("l_linenumber") - F.when(F.col("l_partkey") % 50 == 0, 1).otherwise(0)).alias("no"), "x", "y", "w", "h",
         F.when(F.col("l_suppkey") % 20 == 0, "oval").otherwise(F.col("shape")).alias("shape"))
-    pages = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 40 == 0, " ").otherwise(F.col("o_orderpriority")).alias("summary"))
+    pages = t.orders.select(F.when(F.col("o_orderstatus") == "P", -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("page"), F.when(F.col("o_orderkey") % 40 == 0, " ").otherwise(F.col("o_orderpriority")).alias("summary"))
     return rules.check_layout(pages, panels, "page", "no", "x", "y", "w", "h", "shape", "summary")
 
 
@@ -56,7 +56,7 @@ def check_detail(t):
 WITH e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 30 = 0 THEN '' ELSE p_name || ' ' || p_partkey // 2 END AS name, CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE 'a' END AS al,
   CASE p_type WHEN 'ECONOMY' THEN 'Female' WHEN 'SMALL' THEN 'male ' ELSE 'unknown' END AS g, CASE WHEN p_size < 5 THEN 'abc' ELSE p_brand END AS ap,
   CASE WHEN p_partkey % 23 = 0 THEN ' ' WHEN p_partkey % 3 = 0 THEN p_name ELSE '1Girl, ' || p_name END AS tg, CASE WHEN p_partkey % 19 = 0 THEN '' ELSE p_brand END AS an, p_type AS ao FROM part),
-s AS (SELECT l_partkey AS k, CASE WHEN l_quantity > 49 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS pages, CASE WHEN l_tax > 0.07 AND l_quantity > 45 THEN '' ELSE l_returnflag END AS st FROM lineitem WHERE l_partkey % 37 <> 0)
+s AS (SELECT CASE WHEN l_partkey % 37 = 0 THEN -l_partkey ELSE l_partkey END AS k, CASE WHEN l_quantity > 49 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS pages, CASE WHEN l_tax > 0.07 AND l_quantity > 45 THEN '' ELSE l_returnflag END AS st FROM lineitem)
 SELECT k, 'name' AS rule FROM e WHERE name = '' UNION ALL SELECT k, 'aliases' FROM e WHERE al IS NULL
 UNION ALL SELECT k, 'gender' FROM e WHERE g = 'unknown' UNION ALL SELECT k, 'appearance' FROM e WHERE length(ap) < 5
 UNION ALL SELECT k, 'tags' FROM e WHERE trim(tg) = '' UNION ALL SELECT k, 'first tag' FROM e WHERE trim(tg) <> '' AND NOT starts_with(tg, '1Girl')
@@ -74,8 +74,8 @@ def check_entities(t):
         F.when(c("p_size") < 5, "abc").otherwise(c("p_brand")).alias("appearance"),
         F.when(k % 23 == 0, " ").when(k % 3 == 0, c("p_name")).otherwise(F.concat(F.lit("1Girl, "), "p_name")).alias("tags"),
         F.when(k % 19 == 0, "").otherwise(c("p_brand")).alias("anchor_name"), c("p_type").alias("anchor_origin"))
-    s = t.lineitem.where("l_partkey % 37 <> 0").select(
-        c("l_partkey").alias("k"), F.when(c("l_quantity") > 49, "x").otherwise(c("l_quantity").cast("int").cast("string")).alias("pages"),
+    s = t.lineitem.select(
+        F.when(c("l_partkey") % 37 == 0, -c("l_partkey")).otherwise(c("l_partkey")).alias("k"), F.when(c("l_quantity") > 49, "x").otherwise(c("l_quantity").cast("int").cast("string")).alias("pages"),
         F.when((c("l_tax") > 0.07) & (c("l_quantity") > 45), "").otherwise(c("l_returnflag")).alias("state_text"))
     return rules.check_entities(e, s, "k")
 
@@ -101,18 +101,19 @@ def check_placements(t):
 @query("check_segments", """
 WITH s AS (SELECT o_custkey AS k, o_orderkey AS pos, o_totalprice / 30000 AS d, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE o_orderpriority END AS beat,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS seg, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
-u AS (SELECT o_custkey AS k, o_orderkey AS unit FROM orders), us AS (SELECT o_custkey AS k, o_orderkey AS unit FROM orders WHERE o_orderkey % 23 <> 0 UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 29 = 0)
+u AS (SELECT o_custkey AS k, o_orderkey AS unit FROM orders), us AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 23 = 0 THEN -o_orderkey ELSE o_orderkey END AS unit FROM orders UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 29 = 0)
 SELECT k, CAST(seg AS VARCHAR) AS item, 'seg number' AS rule FROM s WHERE seg <> place
 UNION ALL SELECT k, CAST(seg AS VARCHAR), 'duration' FROM s WHERE NOT (d BETWEEN 1.0 AND 15.0)
 UNION ALL SELECT k, CAST(seg AS VARCHAR), 'beat' FROM s WHERE trim(beat) = ''
 UNION ALL SELECT k, CAST(unit AS VARCHAR), 'missing' FROM u WHERE unit NOT IN (SELECT unit FROM us)
+UNION ALL SELECT k, CAST(unit AS VARCHAR), 'unknown' FROM us WHERE unit NOT IN (SELECT unit FROM u)
 UNION ALL SELECT k, CAST(unit AS VARCHAR), 'duplicate' FROM us GROUP BY k, unit HAVING count(*) > 1""")
 def check_segments(t):
     from ..operators.scan import numbered
     c = F.col
     o = t.orders.select(c("o_custkey").alias("k"), c("o_orderkey").alias("unit"), (c("o_totalprice") / 30000).alias("d"), F.when(c("o_orderkey") % 17 == 0, " ").otherwise(c("o_orderpriority")).alias("beat"))
     segs = numbered(o, ["k"], ["unit"], "seg").withColumn("seg", c("seg") + F.when(c("unit") % 19 == 0, 1).otherwise(0))
-    used = o.where("unit % 23 <> 0").select("k", "unit").unionByName(o.where("unit % 29 = 0").select("k", "unit"))
+    used = o.select("k", F.when(c("unit") % 23 == 0, -c("unit")).otherwise(c("unit")).alias("unit")).unionByName(o.where("unit % 29 = 0").select("k", "unit"))
     return rules.check_segments(segs, used, o.select("k", "unit"), ["k"], seg="seg", place=["unit"], duration="d", beat="beat", unit="unit", order=["unit"], unit_order=["unit"])
 
 

@@ -152,8 +152,8 @@ def required_tokens_missing(t):
 
 
 @query("exact_cover", """
-WITH u AS (SELECT o_custkey % 50 AS grp, o_orderkey AS unit, o_orderkey AS pos FROM orders WHERE o_orderkey % 11 <> 3),
-s AS (SELECT o_custkey % 50 AS grp, o_orderkey AS unit, CASE WHEN o_orderkey % 101 = 5 THEN o_orderkey + 2500 ELSE o_orderkey END AS pos FROM orders WHERE o_orderkey % 13 <> 4
+WITH u AS (SELECT o_custkey % 50 AS grp, CASE WHEN o_orderkey % 11 = 3 THEN -o_orderkey ELSE o_orderkey END AS unit, o_orderkey AS pos FROM orders),
+s AS (SELECT o_custkey % 50 AS grp, CASE WHEN o_orderkey % 13 = 4 THEN -o_orderkey ELSE o_orderkey END AS unit, CASE WHEN o_orderkey % 101 = 5 THEN o_orderkey + 2500 ELSE o_orderkey END AS pos FROM orders
       UNION ALL SELECT o_custkey % 50, o_orderkey, o_orderkey + 100000 FROM orders WHERE o_orderkey % 97 = 0),
 nu AS (SELECT grp, unit, count(*) AS n FROM s GROUP BY 1, 2),
 sing AS (SELECT nu.grp, nu.unit FROM nu JOIN u USING (grp, unit) WHERE n = 1),
@@ -165,18 +165,21 @@ UNION ALL SELECT nu.grp, nu.unit, 'duplicate' FROM nu JOIN u USING (grp, unit) W
 UNION ALL SELECT grp, unit, 'order' FROM a JOIN b USING (grp, unit) WHERE a <> b""")
 def exact_cover(t):
     o = t.orders.select((F.col("o_custkey") % 50).alias("grp"), F.col("o_orderkey").alias("unit"))
-    u = o.where("unit % 11 <> 3").withColumn("pos", F.col("unit"))
-    s = o.where("unit % 13 <> 4").withColumn("pos", F.when(F.col("unit") % 101 == 5, F.col("unit") + 2500).otherwise(F.col("unit"))).unionByName(
+    lost = lambda n, m: F.when(F.col("unit") % n == m, -F.col("unit")).otherwise(F.col("unit"))
+    u = o.withColumn("pos", F.col("unit")).withColumn("unit", lost(11, 3))
+    s = o.withColumn("pos", F.when(F.col("unit") % 101 == 5, F.col("unit") + 2500).otherwise(F.col("unit"))).withColumn("unit", lost(13, 4)).unionByName(
         o.where("unit % 97 = 0").withColumn("pos", F.col("unit") + 100000))
     return sets.exact_cover(s, u, ["grp"], "unit", ["pos", "unit"], ["pos"])
 
 
 @query("residual_issues", """
-WITH n AS (SELECT source AS file, lang AS problem, doc_id FROM documents WHERE doc_id % 3 = 0), c AS (SELECT source AS file, lang AS problem, doc_id FROM documents WHERE doc_id % 29 = 1)
+WITH n AS (SELECT source AS file, CASE WHEN doc_id % 3 = 0 THEN lang ELSE lang || doc_id % 5 END AS problem, doc_id FROM documents),
+c AS (SELECT source AS file, CASE WHEN doc_id % 29 = 1 THEN lang ELSE lang || '?' END AS problem, doc_id FROM documents)
 SELECT * FROM n WHERE (file, problem) NOT IN (SELECT (file, problem) FROM c) UNION ALL SELECT * FROM c""")
 def residual_issues(t):
-    d = t.documents.select(F.col("source").alias("file"), F.col("lang").alias("problem"), "doc_id")
-    return sets.residual_issues(d.where("doc_id % 3 = 0"), d.where("doc_id % 29 = 1"))
+    problem = lambda n, m, more: F.when(F.col("doc_id") % n == m, F.col("lang")).otherwise(F.concat("lang", more)).alias("problem")
+    issues = lambda p: t.documents.select(F.col("source").alias("file"), p, "doc_id")
+    return sets.residual_issues(issues(problem(3, 0, (F.col("doc_id") % 5).cast("string"))), issues(problem(29, 1, F.lit("?"))))
 
 
 @query("recheck_scope", """
