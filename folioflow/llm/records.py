@@ -41,6 +41,10 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 #: letters beyond these may be classed otherwise by the library; texts with such go to it whole
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]")
 
+CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: a word and one of these are two words of the split
+MARKS = frozenset(",.;:!?")
+
 MANIFEST = "_records.json"
 NULL_KEY = 0xFFFFFFFF
 _BLOCK = 1024
@@ -58,7 +62,7 @@ def _tables() -> np.ndarray:
 
 
 _ADDED = _tables()
-_PLACE = np.arange(_BLOCK, dtype=np.int64) * 256
+_PLACE = np.arange(_BLOCK, dtype=np.int32) * 256
 _HEAD = [[int(x) for x in _ADDED[256 * i:256 * i + 256]] for i in range(4)]
 
 
@@ -71,7 +75,7 @@ def crc32c(data: bytes) -> int:
     """CRC-32C of the bytes; the checksum is linear, so blocks are summed apart and carried over one another."""
     first = len(data) % _BLOCK or min(len(data), _BLOCK)
     d = np.frombuffer(data, np.uint8)
-    crc, head = 0xFFFFFFFF, d[:first].astype(np.int64)
+    crc, head = 0xFFFFFFFF, d[:first].astype(np.int32)
     for i, b in enumerate(head[:4]):
         head[i] = b ^ (crc >> 8 * i & 255)
     crc = int(_of_rows(head[None])[0]) if first else crc
@@ -279,6 +283,8 @@ class ByteCoder:
         """Ids of a blank and a chunk; None if white space at its ends or odd letters need the whole text."""
         if chunk.isalpha() and (chunk.isascii() or not ODD.search(chunk)):
             return self.word(" " + chunk)
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha() and (chunk.isascii() or not ODD.search(chunk)):
+            return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         if not chunk or chunk[0].isspace() or chunk[-1].isspace() or self.odd(chunk):
             return None
         first, *more = SPLIT.findall(" " + chunk)
@@ -287,7 +293,12 @@ class ByteCoder:
         return self.chunks[first[1:]] + b"".join(map(self.words.__getitem__, more))
 
     def odd(self, text: str) -> bool:
-        return ODD.search(text) is not None or any(s in text for s in self.special)
+        if not text.isascii() and ODD.search(text):
+            return True
+        for s in self.special:
+            if s in text:
+                return True
+        return text.isascii() and CONTROL.search(text) is not None
 
     def whole(self, text: str) -> bytes:
         if self.odd(text):
