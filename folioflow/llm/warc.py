@@ -73,8 +73,14 @@ def write_archives(pages: DataFrame, path: str, page: str = "page", file: str =
 
 
 def url_key(address: str) -> str:
-    """Sort key of an address: the host from its end, then path and query in lower case, without fragment."""
-    u = urlsplit(address)
+    """Sort key of an address: the host from its end, then path and query in lower case, without fragment.
+
+    An address without a host, or one that cannot be taken apart, is its own key in lower case.
+    """
+    try:
+        u = urlsplit(address)
+    except ValueError:
+        return address.lower()
     if not u.netloc:
         return address.lower()
     host = u.netloc.lower().split("@")[-1].removeprefix("www.")

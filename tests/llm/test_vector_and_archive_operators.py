@@ -126,3 +126,4 @@ def test_url_keys():
     assert warc.url_key("HTTP://www.Example.com:80/A?b=C#d") == "com:80,example)/a?b=c"
     assert warc.url_key("https://x.org") == "org,x)/"
     assert warc.url_key("Nothing") == "nothing"
+    assert warc.url_key("http://[Bad/x") == "http://[bad/x" and warc.url_key("http://a]b") == "http://a]b"
