@@ -8,27 +8,36 @@ from ..functions import fixed
 from ..functions.text import bare_name, contains_any, in_parentheses, strip
 
 
-def _pieces(df: DataFrame, col: str, out: str) -> DataFrame:
-    """All substrings of at least two characters of short strings."""
-    n = F.length(col)
-    d = df.select(col, F.explode(F.sequence(F.lit(1), n - 1)).alias("_i")).where(n >= 2)
-    d = d.select(col, "_i", F.explode(F.sequence(F.lit(2), n - F.col("_i") + 1)).alias("_n"))
-    return d.select(col, F.substring(F.col(col), F.col("_i"), F.col("_n")).alias(out)).distinct()
+def _runs(name: Column, width: Column) -> Column:
+    """Distinct runs of ``width`` letters of a name at least that long."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - width + 1), lambda i: F.substring(name, i, width)))
+
+
+def _inside(longer: DataFrame, l: str, shorter: DataFrame, s: str) -> DataFrame:
+    """Pairs where the name ``s`` (two letters or more) lies inside the name ``l``.
+
+    Long names stand in an index under their runs of two and three letters, so rows grow with the letters.
+    A short name looks under one run only, that of the fewest long names; one it has alone rules it out.
+    """
+    name, n = F.col(l), F.length(l)
+    three = F.when(n >= 3, _runs(name, F.lit(3))).otherwise(F.array().cast("array<string>"))
+    index = longer.where(n >= 2).select(l, F.explode(F.concat(_runs(name, F.lit(2)), three)).alias("_g"))
+    held = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = shorter.where(F.length(s) >= 2).select(s, F.explode(_runs(F.col(s), F.least(F.length(s), F.lit(3)))).alias("_g"))
+    rarest = own.join(held, "_g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r"))
+    return index.join(rarest.where("_r.n > 0").select(s, "_r._g"), "_g").where(name.contains(F.col(s))).select(l, s)
 
 
 def fuzzy_name_join(a: DataFrame, a_name: str, b: DataFrame, b_name: str) -> DataFrame:
     """Distinct name pairs that are equal without punctuation, or one inside the other (both >= 2 long).
 
-    Containment is an equality join on the substrings of the longer name; names are short.
+    Containment is looked up in an index of letter runs and then tested, once in each direction.
     """
     x = a.select(F.col(a_name).alias("a"), bare_name(F.col(a_name)).alias("_x")).where("_x <> ''").distinct()
     y = b.select(F.col(b_name).alias("b"), bare_name(F.col(b_name)).alias("_y")).where("_y <> ''").distinct()
     xs, ys = x.select("_x").distinct(), y.select("_y").distinct()
-    long = lambda df, c: df.where(F.length(c) >= 2)
     same = xs.join(ys, F.col("_x") == F.col("_y"))
-    b_in_a = _pieces(long(xs, "_x"), "_x", "_p").join(ys, F.col("_p") == F.col("_y")).select("_x", "_y")
-    a_in_b = _pieces(long(ys, "_y"), "_y", "_p").join(xs, F.col("_p") == F.col("_x")).select("_x", "_y")
-    pairs = same.unionByName(b_in_a).unionByName(a_in_b).distinct()
+    pairs = same.unionByName(_inside(xs, "_x", ys, "_y")).unionByName(_inside(ys, "_y", xs, "_x")).distinct()
     return pairs.join(x, "_x").join(y, "_y").select("a", "b")
 
 
@@ -42,32 +51,31 @@ def phrase_hits(docs: DataFrame, doc: str, text: str, phrases: DataFrame, pid: s
     """Every (document, phrase) where the phrase occurs in the text, whole texts, any position.
 
     Documents and phrases meet by equality on one word, then ``contains`` decides. A phrase of
-    three words or more has a whole inner word that the text must hold; one of two words must
-    continue a word start; a single word lies inside a word. The last two are looked up in the
-    distinct words of the corpus, not in each text.
+    three words or more has whole inner words that the text must hold; the one in the fewest documents
+    is taken, and one in none rules the phrase out. A phrase of two words must continue a word start; a
+    single word lies inside a word. The last two are looked up in the distinct words of the corpus, not
+    in each text. Texts are joined last and once, to the pairs left.
     """
     words = docs.select(doc, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_w"))
+    vocab = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     p = phrases.where(strip(F.col(phrase)) != "").select(F.col(pid), F.col(phrase).alias("_phrase"))
     p = p.withColumn("_t", F.split("_phrase", r"\s+")).withColumn("_k", F.size("_t"))
-    inner = F.filter(F.slice("_t", F.lit(2), F.col("_k") - 2), lambda w: w != "")
-    whole = p.where(F.col("_k") >= 3).select(pid, F.array_max(F.transform(
-        inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_w"))
-    short = p.where(F.col("_k") < 3).select(pid, (F.col("_k") == 2).alias("_start"), F.element_at("_t", -1).alias("_s"))
-    anchors = whole
-    if not short.isEmpty():  # most dictionaries have long phrases only; then the texts are split once
-        vocab = words.select("_w").distinct()
-        # one entry per token length in use, so the set stays small
-        lengths = short.agg(F.collect_set(F.struct("_start", F.length("_s").alias("_n"))).alias("_l")).scalar()
-        cut = vocab.withColumn("_l", lengths).select("_w", F.inline(F.filter("_l", lambda x: x["_n"] <= F.length("_w"))))
-        at = F.when(F.col("_start"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_w") - F.col("_n") + 1))
-        cut = cut.select("_w", "_start", "_n", F.explode(at).alias("_i")).select(
-            "_w", "_start", F.substring(F.col("_w"), F.col("_i"), F.col("_n")).alias("_s"))
-        anchors = whole.unionByName(cut.join(short, ["_start", "_s"]).select(pid, "_w").distinct())
-    pairs = words.join(anchors, "_w").select(doc, pid).distinct()
-    return (
-        pairs.join(docs.select(doc, F.col(text).alias("_text")), doc).join(p.select(pid, "_phrase"), pid)
-        .where(F.col("_text").contains(F.col("_phrase"))).select(doc, pid)
-    )
+    # phrases of one id are one entry each, told by their text
+    inner = p.where(F.col("_k") >= 3).select(pid, "_phrase", F.explode(F.array_distinct(F.slice("_t", F.lit(2), F.col("_k") - 2))).alias("_w"))
+    rarest = inner.join(vocab, "_w", "left").groupBy(pid, "_phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("_r"))
+    whole = rarest.where("_r.n > 0").select(pid, "_phrase", "_r._w")
+    short = p.where(F.col("_k") < 3).select(pid, "_phrase", (F.col("_k") == 2).alias("_start"), F.element_at("_t", -1).alias("_s"))
+    # one entry per token length in use, so the set stays small
+    lengths = short.agg(F.collect_set(F.struct("_start", F.length("_s").alias("_n"))).alias("_l")).scalar()
+    cut = vocab.select("_w", lengths.alias("_l")).select("_w", F.inline(F.filter("_l", lambda x: x["_n"] <= F.length("_w"))))
+    at = F.when(F.col("_start"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_w") - F.col("_n") + 1))
+    cut = cut.select("_w", "_start", "_n", F.explode(at).alias("_i")).select(
+        "_w", "_start", F.substring(F.col("_w"), F.col("_i"), F.col("_n")).alias("_s"))
+    anchors = whole.unionByName(cut.join(short, ["_start", "_s"]).select(pid, "_phrase", "_w").distinct())
+    pairs = words.join(anchors, "_w").select(doc, pid, "_phrase").distinct()
+    texts = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    hit = (F.col(doc) == F.col("_doc")) & F.col("_text").contains(F.col("_phrase"))
+    return pairs.join(texts, hit).select(doc, pid)
 
 
 def mention_join(sections: DataFrame, sec: str, text: str, aliases: DataFrame, entity: str, ord: str, alias: str) -> DataFrame:

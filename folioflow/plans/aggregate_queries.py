@@ -146,6 +146,27 @@ def latency_profile_approx(t):
     return ag.latency_profile(t.events, ["event_type"], "value", exact=False)
 
 
+# each answer's exact rank range must reach the asked rank within twice the stated error
+@query("latency_sketch_rollup", """SELECT event_type, CAST(ts AS DATE) AS day, grouping(event_type, CAST(ts AS DATE)) AS level, count(*) AS n, max(value) AS max, true AS median_within, true AS p90_within
+FROM events WHERE value IS NOT NULL GROUP BY ROLLUP (event_type, CAST(ts AS DATE))""")
+def latency_sketch_rollup(t):
+    events = t.events.select("event_type", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value")
+    hours = ag.latency_sketches(events, ["event_type", "day", "hour"], "value")
+    got = ag.latency_from_sketches(hours, ["event_type", "day"], rollup=True)
+    levels = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 1, 3)])).alias("level")
+    rows = events.where("value is not null").select("event_type", "day", "value", levels).select(
+        F.when(F.col("level") < 2, F.col("event_type")).alias("e"), F.when(F.col("level") < 1, F.col("day")).alias("d"), F.col("level").alias("l"), F.col("value").alias("v"))
+    meet = (F.col("level") == F.col("l")) & F.col("event_type").eqNullSafe(F.col("e")) & F.col("day").eqNullSafe(F.col("d"))
+    error = 2 * ag.sketch_error(2000)
+
+    def within(answer, q):
+        below, upto = F.count_if(F.col("v") < F.col(answer)), F.count_if(F.col("v") <= F.col(answer))
+        n = F.col("n")
+        return ((below <= (q + error) * n + 1) & (upto >= (q - error) * n - 1)).alias(f"{answer}_within")
+
+    return rows.join(got, meet).groupBy("event_type", "day", "level", "n", "max").agg(within("median", 0.5), within("p90", 0.9))
+
+
 _D = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 
 

@@ -154,3 +154,54 @@ def test_phrase_hits_against_contains(spark, phrase):
     ph = spark.createDataFrame([(0, phrase)], "p int, s string")
     got = sorted(r["i"] for r in joins.phrase_hits(docs, "i", "t", ph, "p", "s").collect())
     assert got == [i for i, t in enumerate(texts) if phrase in t]
+
+
+def test_loose_names_against_every_pair(spark):
+    names = ["ann", "joann", "an", "a", "b", "ab", "a b", "“Ann”", "annann", "n", "", None, "ana", "nana", "安娜", "小安娜", "娜", "xanax"]
+    a = spark.createDataFrame([(x,) for x in names], "x string")
+    got = {(r["a"], r["b"]) for r in joins.fuzzy_name_join(a, "x", a.withColumnRenamed("x", "y"), "y").collect()}
+    bare = {x: "".join(c for c in x if c not in " “”") for x in names if x is not None}
+
+    def meets(x, y):
+        return x != "" and y != "" and (x == y or (min(len(x), len(y)) >= 2 and (x in y or y in x)))
+
+    assert got == {(x, y) for x in bare for y in bare if meets(bare[x], bare[y])}
+
+
+def test_phrases_of_one_id_and_common_words(spark):
+    docs = spark.createDataFrame([(i, f"the word{i} of the house {'and' * (i % 2)} garden") for i in range(20)] + [(20, None), (21, "")], "i int, t string")
+    ph = spark.createDataFrame([(0, "x word3 of the y"), (1, "the word3 of"), (1, "word4 of the house"), (2, "of the house"), (3, "no such thing here"), (4, None), (5, " ")], "p int, s string")
+    got = sorted(tuple(r) for r in joins.phrase_hits(docs, "i", "t", ph, "p", "s").distinct().collect())
+    assert got == sorted([(3, 1), (4, 1)] + [(i, 2) for i in range(20)])
+
+
+def test_final_segments(spark):
+    units = spark.createDataFrame([(k, u) for k in "abcd" for u in range(1, 7)], "k string, u long")
+    rows = [("a", s, u, u, 40.0, "  ") for s, us in ((1, (1, 2, 3, 4)), (2, (5, 6))) for u in us]  # right, too long
+    rows += [("b", 1, u, u, 9.0, "x") for u in (1, 2, 3, 4, 6)]  # one is missing
+    rows += [("c", 1, p, u, 9.0, "x") for p, u in enumerate((1, 2, 2, 3, 4, 5, 6))]  # one twice in its segment
+    rows += [("d", 1, u, u, None, "y") for u in (1, 2, 3, 9)] + [("d", 2, u, u, 0.0, None) for u in (3, 4, 5, 6)]  # unknown and repeated ones are left out
+    used = spark.createDataFrame(rows, "k string, seg long, pos long, u long, d double, beat string")
+    segs, members = sg.final_segments(used, units, ["k"], "seg", "pos", "u", ["u"], "d", "beat")
+    got = {k: [tuple(r)[1:] for r in segs.where(F.col("k") == k).orderBy("seg").collect()] for k in "abcd"}
+    none = fixed.FALLBACK_BEAT
+    assert got["a"] == [(i, 1, 10.0, none, "salvaged") for i in (1, 2, 3, 4)] + [(i, 1, 15.0, none, "salvaged") for i in (5, 6)]
+    assert got["b"] == got["c"] == [(1, 3, 15.0, none, "packed"), (2, 3, 15.0, none, "packed")]
+    assert got["d"] == [(1, 3, 15.0, "y", "salvaged"), (2, 3, 15.0, none, "salvaged")]  # 20 s each, three of four units left
+    assert [r["u"] for r in members.where("k = 'd'").orderBy("seg", "pos").collect()] == [1, 2, 3, 4, 5, 6]
+    empty = sg.final_segments(used.limit(0), units, ["k"], "seg", "pos", "u", ["u"], "d", "beat")[0]
+    assert {r["how"] for r in empty.collect()} == {"packed"} and empty.count() == 8
+
+
+def test_sketches_merge_to_stated_ranks(spark):
+    d = spark.range(60000).select(F.when(F.col("id") < 40000, "a").otherwise("b").alias("k"), (F.col("id") % 24).alias("h"), ((F.col("id") * 7919) % 60013).cast("double").alias("v"))
+    d = d.unionByName(spark.createDataFrame([("a", 1, None), ("c", 1, 5.0), (None, 2, float("nan"))], "k string, h long, v double"))
+    got = {(r["k"], r["level"]): r for r in ag.latency_from_sketches(ag.latency_sketches(d, ["k", "h"], "v"), ["k"], rollup=True).collect()}
+    values = {"a": [(i * 7919) % 60013 for i in range(40000)], "b": [(i * 7919) % 60013 for i in range(40000, 60000)]}
+    values[None] = values["a"] + values["b"] + [5]
+    for k, v in values.items():
+        r = got[(k, 0 if k else 1)]
+        assert r["n"] == len(v) and r["max"] == max(v)
+        for name, q in (("median", 0.5), ("p90", 0.9)):
+            assert abs(sum(x <= r[name] for x in v) / len(v) - q) <= 2 * ag.sketch_error(2000)
+    assert got[("c", 0)]["median"] == 5.0 and set(got) == {("a", 0), ("b", 0), ("c", 0), (None, 1)}
