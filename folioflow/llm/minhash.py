@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +71,19 @@ def _signed(words: int, bands: int, rows: int, seed: int):
                 else:
                     keys.append([])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "digest", "bands"])
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "told", "n_shingles", "digest", "bands"])
+
+    return run
+
+
+def _shingles(words: int):
+    """A row per shingle of a text, told by a 64-bit hash, with the number of shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                h = np.fromiter({xxhash.xxh3_64_intdigest(s) for s in shingle_set(text, words)[1]}, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(h), pa.binary()), pa.array(np.full(len(h), len(h))), pa.array(h)], names=["node", "n", "h"])
 
     return run
 
@@ -103,76 +113,76 @@ def near_duplicate_scripts(
     Returns one row per script: ``key``, ``n_shingles`` (size of its set), ``component_id`` (smallest
     key reachable over links, itself included) and ``kept`` (the script is that smallest one).
 
-    * Scripts of equal words are one class and need no comparison.
+    * Scripts of equal words are one class, told by a digest of 128 bits, and need no comparison.
     * ``bands * rows`` bins of one permutation give ``bands`` bucket keys per class. A pair at 0.8
       shares a bucket with a probability of 1 - (1 - 0.8^5)^32 = 0.999997.
-    * The members of a bucket are paired with one pivot, so pairs grow with the number of members only.
-      Each pair is confirmed on the full shingle sets. In later rounds one member of each component that
-      still meets others in a bucket is drawn, and the pivot among these; a pair is tried once. When a round
-      links nothing more, all pairs of a bucket that are still apart and whose set sizes allow the similarity are
-      confirmed, so that no pair that shares a bucket stays untried.
+    * The members of a bucket are paired with two pivots, those of the least and the greatest digest, so pairs
+      grow with the number of members only. Each pair is confirmed on the full shingle sets.
+    * Members of buckets in which these links leave several groups meet once more, exactly: each class stands in
+      an index under the rarest of its shingles, as many as two sets of that similarity cannot all miss (n - 0.8 n + 1),
+      rarity counted over these classes. A shingle of one class takes a place but meets nobody. Pairs of different
+      groups under one shingle whose sizes allow the similarity are confirmed.
 
     A null or blank text has no shingles and links with nothing; a text shorter than ``words`` is one
-    shingle. Rows of one key are one script for linking and stay as many rows. A null key links with
-    nothing, has no component and is kept. Other columns of ``scripts`` are not read.
+    shingle. Rows of one key are one script for linking, with the links of all its texts, and stay as many rows. A
+    null key links with nothing, has no component and is kept. Other columns of ``scripts`` are not read.
     """
     percent = round(100 * similarity)
-    docs = scripts.select(F.col(key).alias("id"), F.col(content).alias("text"))
+    docs = scripts.select(F.col(key).alias("id"), F.col(content).alias("text"), F.xxhash64(F.col(content)).alias("told"))
     kind = docs.schema["id"].dataType.simpleString()
     signed = cut_lineage(docs.mapInArrow(
-        _signed(words, bands, rows, seed), f"id {kind}, n_shingles long, digest binary, bands array<long>"), "signed")
+        _signed(words, bands, rows, seed), f"id {kind}, told long, n_shingles long, digest binary, bands array<long>"), "signed")
     known = signed.where("digest is not null and id is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = cut_lineage(classes, "classes")
-
-    spread = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    shared = spread.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = cut_lineage(spread.join(shared, ["band", "bucket"]), "members")
-    texts = docs.join(members.select("id").distinct(), "id", "left_semi")
-    texts = cut_lineage(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
+    first = F.min_by(F.struct("told", "bands", "n_shingles"), F.struct("id", "told")).alias("_f")
+    classes = cut_lineage(known.groupBy("digest").agg(F.min("id").alias("rep"), first).select(
+        F.col("digest").alias("node"), "rep", "_f.told", "_f.bands", F.col("_f.n_shingles").alias("n")), "classes")
 
-    labels = members.select("id").distinct().withColumn("c", F.col("id"))
+    spread = classes.select("node", F.explode("bands").alias("bucket"))
+    pivots = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = cut_lineage(spread.join(pivots, "bucket"), "members")
+    where = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("id"), "told")
+    texts = docs.join(where, ["id", "told"]).select("node", "text")
+    texts = cut_lineage(texts, "texts").dropDuplicates(["node"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-        both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-        return cut_lineage(both.mapInArrow(_confirmed(words, percent), f"a {kind}, b {kind}"), "confirmed")
-
-    def relabelled(found: DataFrame) -> DataFrame:
-        joined = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        groups = components(joined)
-        return cut_lineage(labels.join(groups, F.col("c") == F.col("node"), "left").select("id", F.coalesce("component", "c").alias("c")), "groups")
-
-    for turn in count():
-        # one member of each component that meets in a bucket, and one of these as its pivot
-        order = F.struct(F.lit(0), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "band", "id"), "id")
-        at = members.withColumn("c", F.col("id")) if turn == 0 else members.join(labels, "id").groupBy("band", "bucket", "c").agg(F.min_by("id", order).alias("id"))
-        pivots = at.groupBy("band", "bucket").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("c").alias("pc")), order).alias("p")).select("band", "bucket", "p.*")
-        pairs = at.join(pivots, ["band", "bucket"]).where("c <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        tested = pairs if turn == 0 else tested.unionByName(pairs)
-        found = confirmed(pairs)
-        if found.isEmpty():
-            break
-        labels = relabelled(found)
-
-    # what no pivot showed: all pairs of a bucket that lie in different components
-    sized = members.join(labels, "id").join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    mixed = sized.groupBy("band", "bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "bucket")
-    sized = cut_lineage(sized.join(mixed, ["band", "bucket"]), "apart")
-    other = sized.select("band", "bucket", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"))
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        return cut_lineage(both.mapInArrow(_confirmed(words, percent), "a binary, b binary"), "confirmed")
+
+    sizes = classes.select("node", "n")
+    star = members.select("node", F.explode(F.array("low", "high")).alias("o")).where("node <> o")
+    star = star.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+    star = star.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    # the texts of one key are one script
+    texts_of = known.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
+    same_key = known.join(texts_of.select("id", "a"), "id").select("a", F.col("digest").alias("b")).where("a <> b").distinct()
+    links = confirmed(cut_lineage(star, "pairs")).unionByName(same_key)
+    groups = components(links)
+
+    # what the pivots left apart: buckets of several groups
+    named = groups.withColumnRenamed("component", "c")
+    labelled = members.select("bucket", "node").join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
+    apart = cut_lineage(labelled.join(mixed, "bucket").select("node", "c").distinct(), "apart")
+    shingles = texts.join(apart.select("node"), "node", "left_semi").mapInArrow(_shingles(words), "node binary, n long, h long")
+    shingles = cut_lineage(shingles, "shingles")
+    held = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rare = shingles.join(held, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "h"))).alias("hs"))
+    places = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("hs"))
+    index = rare.where(places > 0).select("node", "n", F.explode(F.slice("hs", F.lit(1), places.cast("int"))).alias("_h")).select("node", "n", "_h.h")
+    index = cut_lineage(index.join(apart, "node"), "index")
+    other = index.select("h", F.col("node").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"))
     fits = 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
-    rest = sized.join(other, ["band", "bucket"]).where((F.col("id") < F.col("o")) & (F.col("c") != F.col("oc")) & fits)
-    rest = rest.select(F.col("id").alias("a"), F.col("o").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    found = confirmed(cut_lineage(rest, "pairs"))
-    if not found.isEmpty():
-        labels = relabelled(found)
-
-    rep = signed.join(classes.select("digest", "rep"), "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    named = labels.select(F.col("id").alias("node"), F.col("c").alias("component"))
-    rep = rep.join(named, rep["rep"] == named["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
-    root = F.when(F.col("id").isNotNull(), F.col("rep"))
-    return rep.select(
-        F.col("id").alias(key), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    rest = index.join(other, "h").where((F.col("node") < F.col("o")) & (F.col("c") != F.col("oc")) & fits)
+    rest = cut_lineage(rest.select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "pairs")
+    groups = components(links.unionByName(confirmed(rest)))
+
+    found = groups.join(classes.select("node", "rep"), "node")
+    least = found.groupBy("component").agg(F.min("rep").alias("root"))
+    root = classes.select("node", "rep").join(groups.join(least, "component").select("node", "root"), "node", "left").select(
+        F.col("node").alias("digest"), F.coalesce("root", "rep").alias("root"))
+    told = known.select("id", "n_shingles", "digest").join(root, "digest").select("id", "n_shingles", "root")
+    alone = signed.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("root"))
+    return told.unionByName(alone).select(
+        F.col("id").alias(key), "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))

@@ -64,6 +64,15 @@ def test_pairs_in_a_family_of_unlike_scripts_are_found(spark):
     assert got == {**{i: i for i in range(61)}, 61: 60}
 
 
+def test_each_text_of_a_key_counts(spark):
+    rng = random.Random(21)
+    one, two = ([f"w{rng.randrange(10 ** 6)}" for _ in range(200)] for _ in range(2))
+    near = one[:100] + ["other"] + one[101:]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(near)), (0, " ".join(two[:50] + ["x"] + two[51:])), (5, "zz"), (None, " ".join(one))]
+    got = sorted(map(tuple, minhash.near_duplicate_scripts(spark.createDataFrame(rows, "panel long, content string"), words=2).collect()), key=str)
+    assert got == sorted([(0, 199, 0, True), (1, 199, 0, False), (1, 199, 0, False), (2, 199, 0, False), (5, 1, 5, True), (None, 199, None, True)], key=str)
+
+
 def test_tight_groups_that_fill_their_lists_still_join(spark):
     rng = np.random.default_rng(14)
     a, other = np.eye(32)[0], np.eye(32)[1]
