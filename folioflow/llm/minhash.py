@@ -121,7 +121,7 @@ def near_duplicate_scripts(
     * Members of buckets in which these links leave several groups meet once more, exactly: each class stands in
       an index under the rarest of its shingles, as many as two sets of that similarity cannot all miss (n - 0.8 n + 1),
       rarity counted over these classes. A shingle of one class takes a place but meets nobody. Pairs of different
-      groups under one shingle whose sizes allow the similarity are confirmed.
+      groups under one shingle are confirmed if their sizes and its places in both orders allow the similarity.
 
     A null or blank text has no shingles and links with nothing; a text shorter than ``words`` is one
     shingle. Rows of one key are one script for linking, with the links of all its texts, and stay as many rows. A
@@ -170,10 +170,12 @@ def near_duplicate_scripts(
     held = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     rare = shingles.join(held, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "h"))).alias("hs"))
     places = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("hs"))
-    index = rare.where(places > 0).select("node", "n", F.explode(F.slice("hs", F.lit(1), places.cast("int"))).alias("_h")).select("node", "n", "_h.h")
+    index = rare.where(places > 0).select("node", "n", (F.col("n") - F.size("hs")).alias("own"), F.posexplode(F.slice("hs", F.lit(1), places.cast("int"))).alias("at", "_h"))
+    # shingles from this one on, in the order of rarity: the first that two sets share leaves no more to share than these
+    index = index.select("node", "n", "_h.h", (F.col("n") - F.col("own") - F.col("at")).alias("ahead"))
     index = cut_lineage(index.join(apart, "node"), "index")
-    other = index.select("h", F.col("node").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"))
-    fits = 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
+    other = index.select("h", F.col("node").alias("o"), F.col("c").alias("oc"), F.col("n").alias("on"), F.col("ahead").alias("oahead"))
+    fits = (100 + percent) * F.least("ahead", "oahead") >= percent * (F.col("n") + F.col("on"))
     rest = index.join(other, "h").where((F.col("node") < F.col("o")) & (F.col("c") != F.col("oc")) & fits)
     rest = cut_lineage(rest.select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "pairs")
     groups = components(links.unionByName(confirmed(rest)))
