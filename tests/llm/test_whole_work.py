@@ -64,6 +64,16 @@ def test_pairs_in_a_family_of_unlike_scripts_are_found(spark):
     assert got == {**{i: i for i in range(61)}, 61: 60}
 
 
+def test_long_other_words_are_no_repeats(spark):
+    """Lines that differ in one word of 40 letters, over 70 such words: never within a tenth of their letters."""
+    rng = random.Random(31)
+    head = " ".join(words(rng, 10))
+    tails = ["".join(rng.choice(LETTERS) for _ in range(40)) for _ in range(70)]
+    rows = [(i, f"{head} {t}") for i, t in enumerate(tails)] + [(100, f"{head} {tails[0][:-2]}zz")]
+    got = {r["panel"]: r["n_dropped"] for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "panel long, content string")).collect()}
+    assert got == {**{i: 0 for i in range(70)}, 100: 1}
+
+
 def test_each_text_of_a_key_counts(spark):
     rng = random.Random(21)
     one, two = ([f"w{rng.randrange(10 ** 6)}" for _ in range(200)] for _ in range(2))
