@@ -78,19 +78,19 @@ def nearest(
     query, so neither a full cell nor equal vectors meet in one task.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null keys and
-    vectors of another length than the sample's. Repeated keys are as many candidates. Other columns are not read.
+    vectors of another length than the most frequent one (ties: the longer). Repeated keys are as many candidates. Other columns are not read.
     """
     def rows(df):
         return df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
     base, asked = rows(vectors), rows(queries)
-    fit = base.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).toPandas()["v"].tolist()
     out = "query_id long, rank int, vec_id long, score double"
-    if not fit:
+    usual = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if usual is None:
         return vectors.sparkSession.createDataFrame([], out)
-    d = max(map(len, fit))
-    x = np.array([f for f in fit if len(f) == d], np.float64)
+    d = usual["d"]
     base, asked, h = base.where(F.size("v") == d), asked.where(F.size("v") == d), max(1, d // 2)
+    x = np.array(base.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).toPandas()["v"].tolist(), np.float64)
     c1 = k_means(x[:, :h], centroids, seed)
     c2 = k_means(x[:, h:], centroids, seed + 1) if d > 1 else np.zeros((1, 0))
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from folioflow.llm import descent, lines, minhash
+from folioflow.llm import descent, lines, minhash, multiindex
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,3 +94,11 @@ def test_tight_groups_that_fill_their_lists_still_join(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "panel long, embedding array<double>")
     got = {r["panel"]: (r["n_links"], r["component_id"]) for r in descent.near_duplicate_vectors(df).collect()}
     assert got == {i: (int(near[i].sum()) - 1, 0) for i in range(60)}
+
+
+def test_a_vector_of_another_length_is_left_out(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(50)] + [(50, rng.standard_normal(7).tolist())]
+    df = spark.createDataFrame(rows, "panel long, embedding array<double>")
+    got = multiindex.nearest(df, df.where("panel in (0, 50)"), "panel", "embedding").collect()
+    assert {r["query_id"] for r in got} == {0} and all(r["vec_id"] not in (0, 50) for r in got) and len(got) > 0
